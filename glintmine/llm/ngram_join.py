@@ -9,7 +9,9 @@ that reach each other by links are one component.
    by texts that have little else.
 3. Classes with a common posting form the cluster of the least of them: any two classes that can link are
    together in a cluster, and a cluster's rows are linear in its members.
-4. Within a cluster, in blocks of bounded size, each class that is not yet connected to the cluster's least
+4. Within a cluster, in blocks of bounded size, counts of a set's shingles by cell bound the overlap of any
+   two members from above, so that whole sets travel only of classes that can reach the overlap T with
+   another member. Each class that is not yet connected to the cluster's least
    is a query: the short inverted lists are merged with a heap, the long ones probed by binary search, and
    classes that reach the overlap T are links. A pair that is already connected is not compared.
 5. Clusters of more blocks than one: after components are joined, the classes still apart from the cluster's
@@ -23,6 +25,7 @@ Rows that repeat an id belong to one document if any: they share a component. Ex
 from __future__ import annotations
 
 import heapq
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import batches_of, bit_filter, lowered_words, materialize, per_row, signed, small_batches, window_hashes, word_hashes
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 #: A cluster's block: what one task holds of a cluster at once.
 BLOCK = 1024
 
@@ -69,6 +72,47 @@ def links(a: int, b: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (a + b - common)
 
 
+def cells(found: np.ndarray) -> np.ndarray:
+    """Counts of a set's hashes by their top bits, in as many cells (a power of two) as suit its size."""
+    bits = min(12, max(5, (len(found) // 8).bit_length()))
+    return np.bincount((found >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+class Bounds:
+    """Upper bounds of overlaps: in each cell two sets share at most the smaller count."""
+
+    def __init__(self, counts: list[np.ndarray]):
+        self.sizes = np.array([int(c.sum()) for c in counts])
+        self.order = np.argsort(self.sizes, kind="stable")
+        self.sorted = self.sizes[self.order]
+        self.counts = counts
+        self.tables: dict[int, np.ndarray] = {}
+
+    def folded(self, width: int) -> np.ndarray:
+        """All counts in ``width`` cells; of sets that have fewer cells, nothing is known."""
+        if width not in self.tables:
+            table = np.full((len(self.counts), width), np.iinfo(np.uint16).max, np.uint16)
+            for k, c in enumerate(self.counts):
+                if len(c) >= width:
+                    table[k] = c.reshape(width, -1).sum(1)
+            self.tables[width] = table[self.order]
+        return self.tables[width]
+
+    def partners(self, counts: np.ndarray, percent: int) -> np.ndarray:
+        """Places whose sizes and counts let them link with a set of these ``counts``."""
+        n = int(counts.sum())
+        low = np.searchsorted(self.sorted, -(-percent * n // 100))
+        high = np.searchsorted(self.sorted, 100 * n // percent, side="right")
+        if low >= high:
+            return np.empty(0, np.int64)
+        # a partner may have half the cells, so compare in half as many
+        width = max(32, len(counts) // 2)
+        mine = counts.reshape(width, -1).sum(1).astype(np.uint16)
+        most = np.minimum(self.folded(width)[low:high], mine).sum(1, dtype=np.int64)
+        wanted = -(-percent * (self.sorted[low:high] + n) // (100 + percent))
+        return self.order[low:high][most >= wanted]
+
+
 class Union:
     def __init__(self):
         self.up: dict = {}
@@ -172,14 +216,13 @@ def sketch(rows: DataFrame, size: int) -> np.ndarray:
                 at = np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)
                 table += np.bincount(at.astype(np.int64), minlength=len(table))
         if table.any():
-            cells = table.reshape(parts, -1)
-            yield batches_of(schema, range(parts), [c.tobytes() for c in cells])
+            yield batches_of(schema, range(parts), [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in table.reshape(parts, -1)])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[p] = total.get(p, 0) + np.frombuffer(c, np.int64)
+                total[p] = total.get(p, 0) + np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64)
         if total:
             yield batches_of(schema, list(total), [c.tobytes() for c in total.values()])
 
@@ -222,11 +265,11 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def classes():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in found], pa.int64())], names=["doc_id", "n", "class"])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in found], pa.int64()), pa.array([cells(x).tobytes() if len(x) else None for x in found], pa.binary())], names=["doc_id", "n", "class", "cells"])
 
         return step
 
-    members = materialize(rows.mapInArrow(per_row(classes), f"doc_id {kind}, n long, class long"), "classes")
+    members = materialize(rows.mapInArrow(per_row(classes), f"doc_id {kind}, n long, class long, cells binary"), "classes")
     first = members.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     edges = class_links(rows, members, size, percent, block)
     # Ids that repeat tie their classes together too.
@@ -267,45 +310,108 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
     shared = postings.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("last > leader").select("token", "leader")
     clusters = materialize(postings.join(shared.hint("shuffle_hash"), "token").select("leader", "class").distinct(), "clusters")
 
-    # One row of each class in a cluster, with its set. The filter passes few rows besides those.
+    # Of each class in a cluster: a document that has it, and its counts by cell.
     wanted = clusters.select("class").distinct()
-    ids = members.where("class is not null and doc_id is not null").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    ids = materialize(ids, "wanted")
-    maybe = bit_filter(ids.select(F.xxhash64(F.col("doc_id").cast("string")).alias("h")), "h")
-    set_schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
-
-    def whole_sets(batches):
-        for batch in batches:
-            seen = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            passed = batch.filter(pa.array(maybe.value.maybe(seen)))
-            found = [shingles(t, size) for t in passed.column(1).to_pylist()]
-            found = [(set_hash(x), x.tobytes()) for x in found if len(x)]
-            if found:
-                yield batches_of(set_schema, *zip(*found, strict=True))
-
-    passed = rows.where("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text", "doc_id")
-    sets = passed.select("h", "text").mapInArrow(whole_sets, "class long, set binary")
-    sets = sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set"))
-    sets = materialize(sets, "sets")
+    facts = members.where("class is not null and doc_id is not null").join(wanted, "class", "left_semi")
+    facts = materialize(facts.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "cluster-classes")
 
     sizes = clusters.groupBy("leader").agg(F.count("*").alias("members"))
     dealt = clusters.join(sizes, "leader").select("leader", "class", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     own = dealt.where("class != leader").select("leader", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", F.lit(False).alias("asks"))
     heads = dealt.where("class = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", F.lit(True).alias("asks"))
-    first = materialize(_searched(own.unionByName(heads), sets, percent, None), "links-first")
+    links = materialize(_linked(own.unionByName(heads), rows, facts, size, percent, None), "links-first")
 
     many = dealt.where("blocks > 1 and class != leader")
     if many.isEmpty():
-        return first
+        return links
     # Clusters of several blocks: who is still apart from the leader asks in every block.
-    roots = components(first)
+    roots = components(links)
     rooted = many.join(roots, many["class"] == roots["id"], "left").select("leader", "class", "blocks", F.coalesce("root", "class").alias("root"))
     heads = roots.select(F.col("id").alias("leader"), F.col("root").alias("head"))
     rooted = rooted.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
     asking = rooted.where("root != head").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", F.lit(True).alias("asks"), "root")
     asked = rooted.join(asking.select("leader").distinct(), "leader", "left_semi").select("leader", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", F.lit(False).alias("asks"), "root")
-    again = materialize(_searched(asking.unionByName(asked), sets, percent, "root"), "links-again")
-    return first.unionByName(again)
+    again = _linked(asking.unionByName(asked), rows, facts, size, percent, "root")
+    return links.unionByName(materialize(again, "links-again"))
+
+
+def _linked(dealt: DataFrame, rows: DataFrame, facts: DataFrame, size: int, percent: int, root: str | None) -> DataFrame:
+    able = materialize(_able(dealt, facts, percent, root), "able")
+    return _searched(able, _sets(able.select("class").distinct(), rows, facts, size), percent, root)
+
+
+def _sets(wanted: DataFrame, rows: DataFrame, facts: DataFrame, size: int) -> DataFrame:
+    """(class, set) of the wanted classes. The bit filter passes few texts besides theirs."""
+    key = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
+    maybe = bit_filter(facts.join(wanted, "class", "left_semi").select(key), "h")
+    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+
+    def whole_sets(batches):
+        for batch in batches:
+            seen = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            passed = batch.filter(pa.array(maybe.value.maybe(seen)))
+            found = [shingles(t, size) for t in passed.column(1).to_pylist()]
+            found = [(set_hash(x), x.tobytes()) for x in found if len(x)]
+            if found:
+                yield batches_of(schema, *zip(*found, strict=True))
+
+    sets = rows.where("doc_id is not null").select(key, "text").mapInArrow(whole_sets, "class long, set binary")
+    return materialize(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")), "sets")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of sorted batches by their first two columns, one group at a time."""
+    key, group = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:2] != key:
+                if group:
+                    yield key, group
+                key, group = row[:2], []
+            group.append(row[2:])
+    if group:
+        yield key, group
+
+
+def _by_block(df: DataFrame) -> DataFrame:
+    return df.repartition("leader", "block").sortWithinPartitions("leader", "block", F.desc("asks"), "class")
+
+
+def _able(dealt: DataFrame, facts: DataFrame, percent: int, root: str | None) -> DataFrame:
+    """The rows of ``dealt`` that some other row of their block may link with, by the bounds."""
+    columns = ["leader", "block", "class", "asks", *([root] if root else [])]
+    held = dealt.join(facts.select("class", "cells"), "class").select(*columns, "cells")
+    types = [("leader", pa.int64()), ("block", pa.int32()), ("class", pa.int64()), ("asks", pa.bool_()), *([(root, pa.int64())] if root else [])]
+    schema = pa.schema(types)
+
+    def chosen(batches):
+        done = []
+        for key, group in _groups(batches):
+            asked = [r for r in group if root is None or not r[1]]
+            if len(asked) < 2 and root is None or not asked:
+                continue
+            asking = range(len(asked)) if root is None else [k for k, r in enumerate(group) if r[1]]
+            bounds = Bounds([np.frombuffer(r[-1], np.uint16) for r in asked])
+            into: set[int] = set()
+            by: set[int] = set()
+            for k in asking:
+                who = asked[k] if root is None else group[k]
+                near = [m for m in bounds.partners(np.frombuffer(who[-1], np.uint16), percent).tolist() if asked[m][0] != who[0] and (root is None or asked[m][2] != who[2])]
+                if near:
+                    by.add(k)
+                    into.update(near)
+            if root is None:
+                done += [(*key, *asked[k][:-1]) for k in sorted(by | into)]
+            else:
+                done += [(*key, *group[k][:-1]) for k in sorted(by)] + [(*key, *asked[k][:-1]) for k in sorted(into)]
+            if len(done) > 50_000:
+                yield batches_of(schema, *zip(*done, strict=True))
+                done = []
+        if done:
+            yield batches_of(schema, *zip(*done, strict=True))
+
+    kinds = "leader long, block int, class long, asks boolean" + (f", {root} long" if root else "")
+    return _by_block(held).mapInArrow(chosen, kinds)
 
 
 def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None) -> DataFrame:
@@ -316,21 +422,10 @@ def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches):
-        key, group = None, []
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:2] != key:
-                    if group:
-                        yield from finish(group)
-                    key, group = row[:2], []
-                group.append(row[2:])
-        if group:
-            yield from finish(group)
-
-    def finish(group):
-        found = ask_first(group) if root is None else ask_all(group)
-        if found:
-            yield batches_of(schema, *zip(*found, strict=True))
+        for _, group in _groups(batches):
+            found = ask_first(group) if root is None else ask_all(group)
+            if found:
+                yield batches_of(schema, *zip(*found, strict=True))
 
     def parsed(rows):
         return [r[0] for r in rows], [np.frombuffer(r[-1], np.uint64) for r in rows]
@@ -353,8 +448,7 @@ def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None)
                     out.append((r[0], ids[m]))
         return out
 
-    dealt_out = held.repartition("leader", "block").sortWithinPartitions("leader", "block", F.desc("asks"), "class")
-    return dealt_out.mapInArrow(search, "a long, b long")
+    return _by_block(held).mapInArrow(search, "a long, b long")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
