@@ -114,9 +114,9 @@ def junk_rules() -> list[Rule]:
     ]
 
 
-def ordered(measured: DataFrame, rules: list[Rule], rows: int = 2000) -> list[Rule]:
-    """``rules`` by rejections per cost on the ``rows`` rows first by hash of their id, which bounds the sample."""
-    sample = measured.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
+def ordered(measured: DataFrame, rules: list[Rule]) -> list[Rule]:
+    """``rules`` by rejections per cost on the rows of ``measured``, a small sample."""
+    sample = measured.collect()
     if not sample:
         return rules
     local = measured.sparkSession.createDataFrame(sample, measured.schema)
@@ -138,11 +138,12 @@ def cascade(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: list[Rule] | None = None, extra: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """measures() with base_failed, kept and ``failed`` (the rule that rejects). Base rules come first, since
-    their verdict is a column of its own; the order within both lists is estimated."""
+    their verdict is a column of its own; the order within both lists is estimated, on about
+    ``sample_rows`` rows drawn by the hash of their id."""
     base, extra = base_rules() if base is None else base, junk_rules() if extra is None else extra
-    drawn = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).orderBy(F.xxhash64(F.col("doc_id")), "doc_id").limit(sample_rows)
-    sample = measures(drawn)
-    order = ordered(sample, base + extra, sample_rows)
+    rate = sample_rows / max(1, docs.count())
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    order = ordered(measures(drawn, doc_id, text), base + extra)
     base, extra = [r for r in order if r in base], [r for r in order if r in extra]
     measured = measures(docs, doc_id, text)
     failed = cascade([*base, *extra])
