@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -19,6 +20,14 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder of ``spark.checkpoint.dir``; our own only where it is unset."""
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glintmine-"))
+    return df.checkpoint()
+
+
 def local_session(cpus: int = 8, name: str = "glintmine", **settings: str) -> SparkSession:
     conf = {
         "spark.master": f"local[{cpus}]",
