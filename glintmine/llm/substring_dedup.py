@@ -143,37 +143,55 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     anchors = index.join(probed, "h", "left").where("least != most or low != least or high != least").select("h")
     anchored = bit_filter(anchors, "h")
 
-    # 4. Extension: each window over an anchor, in every text that has one, against the smallest id with the
-    #    same window. Copies add no new window: of a sequence's windows one row each is kept.
-    window_schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("at", pa.int32())])
+    # 4. Extension: the windows over one of a text's own blocks that is an anchor (any window that another
+    #    text shares is one), in every text that has such; the smallest id of those that two ids have.
+    holder_schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64())])
+    place_schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("at", pa.int32())])
 
-    def candidates(batches):
+    def windows(batch):
         maybe = anchored.value.maybe
+        for i, words, seq in _rows(batch):
+            base = word_hashes(words)
+            own = np.arange(0, len(base) - half + 1, half)
+            found = own[maybe(window_hashes(base, half)[own])]
+            if len(found):
+                change = np.zeros(len(base) + 1, np.int64)
+                np.add.at(change, np.maximum(0, found + half - width), 1)
+                np.add.at(change, found + 1, -1)
+                at = np.flatnonzero(np.cumsum(change)[: len(base) - width + 1] > 0)
+                yield i, seq, at, window_hashes(base, width)[at]
+
+    def holders(batches):
+        for batch in batches:
+            parts = [(signed(np.unique(w)), i) for i, _, _, w in windows(batch)]
+            if parts:
+                yield from _chunks(holder_schema, [np.concatenate([w for w, _ in parts]), np.concatenate([np.full(len(w), i) for w, i in parts])])
+
+    held = longs.mapInArrow(holders, "w long, doc_id long").groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    shared = materialize(held.where("last > first").select("w", "first"), "shared")
+    in_shared = bit_filter(shared, "w")
+
+    def places(batches):
+        maybe = in_shared.value.maybe
         for batch in batches:
             parts = []
-            for i, words, seq in _rows(batch):
-                base = word_hashes(words)
-                found = np.flatnonzero(maybe(window_hashes(base, half)))
-                if len(found):
-                    change = np.zeros(len(base) + 1, np.int64)
-                    np.add.at(change, np.maximum(0, found + half - width), 1)
-                    np.add.at(change, found + 1, -1)
-                    at = np.flatnonzero(np.cumsum(change)[: len(base) - width + 1] > 0)
-                    w = signed(window_hashes(base, width)[at])
-                    parts.append((w, np.full(len(at), i), np.full(len(at), seq), at.astype(np.int32)))
+            for i, seq, at, w in windows(batch):
+                some = maybe(w)
+                if some.any():
+                    parts.append((signed(w[some]), np.full(some.sum(), i), np.full(some.sum(), seq), at[some].astype(np.int32)))
             if parts:
-                yield from _chunks(window_schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
+                yield from _chunks(place_schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    found = longs.mapInArrow(candidates, "w long, doc_id long, seq long, at int").groupBy("w", "seq", "at").agg(F.min("doc_id").alias("doc_id"))
-    found = materialize(found, "windows")
-    smallest = found.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("w", "first")
-    packed = pack_starts(found.join(smallest, "w").where("doc_id > first").select("seq", "at"))
+    placed = longs.mapInArrow(places, "w long, doc_id long, seq long, at int")
+    packed = pack_starts(placed.join(shared, "w").where("doc_id > first").select("seq", "doc_id", "at"))
 
     # 5. Back to the texts, by word sequence: a text that a third of all rows copy makes a skewed partition
     #    of this join, which Spark splits.
-    facts = packed.join(copies, "seq", "full_outer")
+    #    Larger ids of a sequence are covered altogether, so only its smallest id's windows matter.
+    both = packed.withColumnRenamed("doc_id", "of").join(copies, "seq", "full_outer")
+    facts = both.groupBy("seq").agg(F.max("first").alias("first"), F.max(F.when(F.coalesce(F.col("of") == F.col("first"), F.lit(True)), F.col("starts"))).alias("starts"))
     joined = identified.drop("long").join(facts, "seq", "left")
-    return joined.select("doc_id", "text", "starts", F.coalesce(F.col("doc_id").cast("long") > F.col("first"), F.lit(False)).alias("copy"))
+    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("starts")).alias("starts"), F.coalesce(F.col("doc_id").cast("long") > F.col("first"), F.lit(False)).alias("copy"))
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], int]]:
@@ -182,13 +200,13 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], int]]:
 
 
 def pack_starts(starts: DataFrame) -> DataFrame:
-    """(seq, starts): the places of each sequence as int32 bytes; a text bounds how many there are."""
-    packed = starts.groupBy("seq").agg(F.collect_set("at").alias("ats"))
+    """(seq, doc_id, starts): the places of each text as int32 bytes; a text bounds how many there are."""
+    packed = starts.groupBy("seq", "doc_id").agg(F.collect_set("at").alias("ats"))
 
     def work():
-        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.asarray(x, np.int32).tobytes() for x in batch.column(1).to_pylist()], pa.binary())], names=["seq", "starts"])
+        return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.asarray(x, np.int32).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["seq", "doc_id", "starts"])
 
-    return packed.mapInArrow(per_row(work), "seq long, starts binary")
+    return packed.mapInArrow(per_row(work), "seq long, doc_id long, starts binary")
 
 
 def _with_sequence(width: int):
