@@ -13,12 +13,15 @@ more than ``capacity`` tokens are cut; the remainder is their first piece.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,46 +30,101 @@ from .common import batches_of, materialize, parallelism_off, per_row, small_bat
 #: A single space between characters that no tokenizer takes for white space: text may be cut here, since
 #: the tokenizer's own pattern starts a new piece at each such space.
 CUT = re.compile("(?<=[^\\s\\x1c-\\x1f\u180e\u200b-\u200d\ufeff]) (?=[^\\s\\x1c-\\x1f\u180e\u200b-\u200d\ufeff])")
-ODD = re.compile("\\s\\s|[\\x1c-\\x1f\\x85\u180e\u200b-\u200d\u2028\u2029\ufeff]")
+#: Texts (for Arrow's regular expressions) that only CUT can cut: white space in a row, or of a rarer kind.
+ODD = r"[\s\x0b]{2}|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian uint32 bytes. ``tokenizers`` encodes each different
-    space-delimited stretch once; what it gave is kept in a cache of bounded size."""
+    """Token ids of whole texts as little-endian uint32 bytes. Each different space-delimited stretch is encoded
+    once; what it gave is kept in a cache of bounded size. ``tokenizers`` sets what the ids are: it reads the
+    file and encodes texts with special tokens. For stretches its byte-pair vocabulary runs in ``tiktoken``, which is
+    quicker for short strings, if the two agree on the first ``trial`` stretches; else in ``tokenizers`` too."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 300_000, trial: int = 2000):
         parallelism_off()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.first, self.rest, self.older = most, {}, {}, {}
+        self.quick, self.trial = quick_encoder(self.tokenizer, path), trial
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def stretches(self, texts: list[str]) -> list[bytes]:
+        if self.quick is None:
+            return self.whole(texts)
+        out = [array("I", ids).tobytes() for ids in map(self.quick, texts)]
+        if self.trial > 0 and texts:
+            self.trial -= len(texts)
+            if (sure := self.whole(texts)) != out:
+                self.quick = None
+                return sure
+        return out
+
+    def known(self, found: dict[str, bytes], texts: list[str], lead: str) -> list[bytes]:
+        """Ids of different stretches, each after ``lead``, from the cache ``found`` or encoded now."""
+        lacking = [x for x in texts if x not in found]
+        if found is self.rest:
+            found.update((x, self.older[x]) for x in lacking if x in self.older)
+            lacking = [x for x in lacking if x not in found]
+        for i in range(0, len(lacking), 4096):
+            some = lacking[i : i + 4096]
+            found.update(zip(some, self.stretches([lead + x for x in some]), strict=True))
+        return list(map(found.__getitem__, texts))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.rest) > self.most:  # what is still in use comes back from the older generation
             self.first, self.rest, self.older = {}, {}, self.rest
-        parts, alone = [], []
-        for text in texts:
-            if any(s in text for s in self.special):
-                parts.append(None)
-                alone.append(text)
-            else:
-                parts.append(CUT.split(text) if ODD.search(text) else text.split(" "))
-        first, rest = self.first, self.rest
-        new = list({p[0] for p in parts if p}.difference(first))
-        first.update(zip(new, self.whole(new), strict=True))
-        found = [list(map(rest.get, p[1:])) if p else [] for p in parts]
-        lacking = {x for p, got in zip(parts, found, strict=True) if None in got for x, y in zip(p[1:], got, strict=True) if y is None}
-        rest.update((x, self.older[x]) for x in lacking.intersection(self.older))
-        new = list(lacking.difference(rest))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            rest.update(zip(some, self.whole([" " + x for x in some]), strict=True))
-        direct = iter(self.whole(alone))
-        return [first[p[0]] + b"".join(map(rest.__getitem__, p[1:]) if None in got else got) if p else next(direct) for p, got in zip(parts, found, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, ODD).to_numpy(zero_copy_only=False)
+        whole = np.array([any(s in t for s in self.special) for t in texts], bool)
+        out: list[bytes] = [b""] * len(texts)
+        for k, ids in zip(np.flatnonzero(whole).tolist(), self.whole([t for t, w in zip(texts, whole, strict=True) if w]), strict=True):
+            out[k] = ids
+        plain = np.flatnonzero(~whole)
+        if not len(plain):
+            return out
+        cut_up = pc.split_pattern(column.take(pa.array(plain)), " ")
+        if odd[plain].any():
+            cut_up = pa.array([CUT.split(texts[k]) if odd[k] else x for k, x in zip(plain.tolist(), cut_up.to_pylist(), strict=True)], pa.large_list(pa.large_string()))
+        # the batch's different stretches, and each text's first, which no space precedes
+        coded = cut_up.flatten().dictionary_encode()
+        bounds = np.asarray(cut_up.offsets) - int(cut_up.offsets[0].as_py())
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        heads = [different[k] for k in at[bounds[:-1]].tolist()]
+        at[bounds[:-1]] = len(different) + np.arange(len(plain))
+        entries = self.known(self.rest, different, " ") + self.heads(heads)
+        of, at, bounds = entries.__getitem__, at.tolist(), bounds.tolist()
+        for k, start, stop in zip(plain.tolist(), bounds, bounds[1:], strict=False):
+            out[k] = b"".join(map(of, at[start:stop]))
+        return out
+
+    def heads(self, texts: list[str]) -> list[bytes]:
+        self.known(self.first, list(dict.fromkeys(texts)), "")
+        return list(map(self.first.__getitem__, texts))
+
+
+def quick_encoder(tokenizer, path: str):
+    """The byte-pair vocabulary of a byte-level tokenizer file as a function of short strings, or None if the
+    file is of another kind: ids must follow the order of merges, as ``tiktoken`` takes them to."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+    plain = told.get("pre_tokenizer") or {}
+    if told["model"].get("type") != "BPE" or plain.get("type") != "ByteLevel" or plain.get("add_prefix_space") or told.get("normalizer"):
+        return None
+    # the printable stand-ins of a byte-level vocabulary: bytes that print stand for themselves
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printed]
+    byte_of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
+    special = {t["content"] for t in told.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in told["model"]["vocab"].items() if token not in special}
+    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    return tiktoken.Encoding("stretches", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 _encoders: dict[str, Encoder] = {}
