@@ -128,8 +128,6 @@ def _searched(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: st
             for w, h, x in zip(words, hits, items, strict=True):
                 if w:
                     x |= machine(w, h)
-            if len(sent) > 1:
-                one.unpersist()
         return [(len(w), int(h.sum()), x) for w, h, x in zip(words, hits, items, strict=True)]
 
     return finish(search)

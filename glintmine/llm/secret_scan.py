@@ -34,6 +34,15 @@ _CODE = np.zeros(128, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 SIDE = len(ALPHABET) + 1
 
+#: Words of ordinary identifiers, beside the corpus's own.
+COMMON = (
+    "access account action address alias allocation application argument array attribute authentication background balance binary boundary buffer builder button calculate callback category channel character "
+    "children client collection column command comment compile component configuration connection constant constructor container content context control controller conversion coordinate counter create "
+    "current custom database default define delete dependency description destination detail development device dictionary direction directory display distance document download dynamic element enable "
+    "encoding environment error evaluate event example exception execute expression extension feature field filter format function generate global handler header height history identifier implementation "
+    "import include index information initialize input instance integer interface international internationalization iterator keyboard language length library listener location manager material measure memory message method"
+).split()
+
 Span = tuple[int, int, str]
 
 
@@ -71,10 +80,10 @@ def random_strings(many: int, seed: int) -> list[str]:
 def identifiers(words: list[str], many: int, seed: int) -> list[str]:
     """Negative samples: words joined as identifiers, paths, rules and numbers are."""
     draw = random.Random(seed)
-    plain = sorted({w for w in words if re.fullmatch(r"[A-Za-z]{1,24}", w)}) or ["value", "index", "name", "count", "list", "user", "path"]
+    plain = sorted({w for w in words if re.fullmatch(r"[A-Za-z]{1,24}", w)}.union(COMMON))
     out = []
     for _ in range(many):
-        parts = [draw.choice(plain) for _ in range(draw.randint(2, 7))]
+        parts = [draw.choice(plain if draw.random() < 0.7 else COMMON) for _ in range(draw.randint(2, 7))]
         style = draw.randrange(9)
         if style == 0:
             made = "".join(p.capitalize() for p in parts)
