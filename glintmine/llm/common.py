@@ -127,39 +127,50 @@ def batches_of(schema: pa.Schema, *columns: Iterable) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
+#: A bit filter is built in blocks of 2**16 bits; an entry's bits all lie in one block.
+BLOCK_BITS = 16
+
+
 class BitFilter:
-    """A fixed 2**FILTER_BITS bit set of 64-bit hashes, for dropping rows that surely have no partner
-    before a shuffle. It answers "maybe" or "no": results never depend on it. Its size is constant."""
+    """A bit set of fixed size of 64-bit hashes, ``marks`` bits for each, for dropping rows that surely have no
+    partner before a shuffle. It answers "maybe" or "no": results never depend on it. With more entries than
+    it can tell apart it only drops fewer rows."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, bits: np.ndarray, size_bits: int = FILTER_BITS, marks: int = 1):
+        self.bits, self.size_bits, self.marks = bits, size_bits, marks
 
     def __contains__(self, value: int) -> bool:
         return bool(self.maybe(np.array([value], dtype=np.uint64))[0])
 
     def maybe(self, hashes: np.ndarray) -> np.ndarray:
-        at = hashes >> np.uint64(64 - FILTER_BITS)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        block = hashes >> np.uint64(64 - self.size_bits + BLOCK_BITS) << np.uint64(BLOCK_BITS)
+        found, left = np.ones(len(hashes), bool), np.arange(len(hashes))
+        for k in range(self.marks):
+            at = block[left] | hashes[left] >> np.uint64(64 - self.size_bits - k * BLOCK_BITS) & np.uint64((1 << BLOCK_BITS) - 1)
+            hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            found[left[~hit]] = False
+            left = left[hit]
+        return found
 
 
-def bit_filter(df: DataFrame, column: str):
+def bit_filter(df: DataFrame, column: str, size_bits: int = FILTER_BITS, marks: int = 1):
     """Broadcast ``BitFilter`` of a bigint column of well-mixed hashes, built by blocks on the executors:
-    the driver gets at most 2**FILTER_BITS bits, however many rows there are."""
-    block_bits = 16
-    size = 1 << (block_bits - 3)
-    block = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS + block_bits).cast("int")
-    at = F.shiftrightunsigned(F.col(column), 64 - FILTER_BITS).bitwiseAND(F.lit((1 << block_bits) - 1)).cast("int")
-    places = df.select(block.alias("block"), at.alias("at")).distinct()
+    the driver gets at most 2**size_bits bits, however many rows there are."""
+    size = 1 << (BLOCK_BITS - 3)
+    block = F.shiftrightunsigned(F.col(column), 64 - size_bits + BLOCK_BITS).cast("int")
+    ats = [F.shiftrightunsigned(F.col(column), 64 - size_bits - k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias(f"at{k}") for k in range(marks)]
+    places = df.select(block.alias("block"), *ats).distinct()
 
     def packed(frame: pd.DataFrame) -> pd.DataFrame:
-        flags = np.zeros(1 << block_bits, np.uint8)
-        flags[frame["at"].to_numpy()] = 1
+        flags = np.zeros(1 << BLOCK_BITS, np.uint8)
+        for k in range(marks):
+            flags[frame[f"at{k}"].to_numpy()] = 1
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    bits = np.zeros(1 << (size_bits - 3), np.uint8)
     for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").toLocalIterator():
         bits[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(BitFilter(bits))
+    return df.sparkSession.sparkContext.broadcast(BitFilter(bits, size_bits, marks))
 
 
 def remainder(column: str, by: int) -> Column:

@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, batches_of, bit_filter, materialize, per_row, signed, small_batches, window_hashes, word_hashes
 
+#: Fixed size of the filter of indexed blocks: 2**28 bits are 32 MB, whatever the input.
+INDEX_BITS = 28
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -123,7 +125,7 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     # 3. Probes: every rolling window of a block's size, but for a text's own blocks and what surely no
     #    index entry matches. An anchor is a block that two different sequences have.
-    in_index = bit_filter(index, "h")
+    in_index = bit_filter(index, "h", INDEX_BITS, marks=3)
 
     def probes(batches):
         maybe = in_index.value.maybe
@@ -141,7 +143,7 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     probed = longs.mapInArrow(probes, "h long, seq long").groupBy("h").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
     anchors = index.join(probed, "h", "left").where("least != most or low != least or high != least").select("h")
-    anchored = bit_filter(anchors, "h")
+    anchored = bit_filter(anchors, "h", marks=3)
 
     # 4. Extension: the windows over one of a text's own blocks that is an anchor (any window that another
     #    text shares is one), in every text that has such; the smallest id of those that two ids have.
@@ -169,7 +171,7 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     held = longs.mapInArrow(holders, "w long, doc_id long").groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = materialize(held.where("last > first").select("w", "first"), "shared")
-    in_shared = bit_filter(shared, "w")
+    in_shared = bit_filter(shared, "w", marks=3)
 
     def places(batches):
         maybe = in_shared.value.maybe
