@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_words, batches_of, bit_filter, materialize, per_row, signed, small_batches, window_hashes, word_hashes
 
-#: Fixed size of the filter of indexed blocks: 2**28 bits are 32 MB, whatever the input.
-INDEX_BITS = 28
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -125,7 +123,7 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
 
     # 3. Probes: every rolling window of a block's size, but for a text's own blocks and what surely no
     #    index entry matches. An anchor is a block that two different sequences have.
-    in_index = bit_filter(index, "h", INDEX_BITS, marks=3)
+    in_index = bit_filter(index, "h", marks=3)
 
     def probes(batches):
         maybe = in_index.value.maybe
