@@ -4,8 +4,9 @@ A page is read into blocks (lines) with the context of each. What stands in navi
 sidebars, notices, adverts, forms, scripts, styles and comments by its element or its class and id words
 goes. Pages are then paired with their nearest neighbours by URL path within their host: lines are aligned
 by longest common subsequence, and what a page shares with a neighbour is template and is deleted. Lines
-inside an article or main element, and lines of a page that equals its neighbour, are never template: pages
-that are copies of each other share their text without being made of boilerplate.
+inside an article or main element are never template: pages that are copies of each other share their text
+without being made of boilerplate. Adjacent pages of a host with equal lines are one run: its neighbours are
+the nearest earlier and later page of the host that differ, and all its copies get the same text.
 
 White space inside a block becomes one space; blocks are joined by one newline in page order.
 
@@ -17,7 +18,6 @@ ignored.
 from __future__ import annotations
 
 import re
-from collections import deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -201,8 +201,6 @@ def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
         mine = [lines[k][0] for k in open_lines]
         for other in neighbours:
             theirs = [x for x, protected in other if not protected]
-            if theirs == mine and [x for x, p in other if p] == [x for x, p in lines if p]:
-                continue  # a copy of the page says nothing about its template
             for k, same in zip(open_lines, shared_lines(mine, theirs), strict=True):
                 template[k] |= same
     return "\n".join(x for (x, _), gone in zip(lines, template, strict=True) if not gone)
@@ -210,8 +208,8 @@ def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page. Lines, not markup, go through the one shuffle, which
-    sorts pages by host and path in ranges, so that a host of any size is dealt over many tasks; a page's
-    neighbours are those beside it in its range."""
+    sorts pages by host and path in ranges, so that a host of any size is dealt over many tasks; a run's
+    neighbours are those beside it in its range. Of a run, the lines are held once, with its ids and urls."""
     small_batches(pages.sparkSession)
     chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = chosen.schema["page_id"].dataType.simpleString()
@@ -231,29 +229,37 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     sorted_pages = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window: deque = deque(maxlen=3)
+        runs: list[tuple] = []  # the run before, the one to finish and, at last, the one after: (host, lines, ids, urls)
+        schema, done = None, []
 
-        def finished(at: int):
-            row, host = window[at][:2], window[at][4]
-            near = [list(zip(window[k][2], window[k][3], strict=True)) for k in (at - 1, at + 1) if 0 <= k < len(window) and window[k][4] == host]
-            return (*row, main_text(list(zip(window[at][2], window[at][3], strict=True)), near))
+        def finish(at: int) -> None:
+            host, lines, ids, urls = runs[at]
+            text = main_text(lines, [runs[k][1] for k in (at - 1, at + 1) if 0 <= k < len(runs) and runs[k][0] == host])
+            done.extend((page, url, text) for page, url in zip(ids, urls, strict=True))
+
+        def taken() -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(done), 512):
+                ids, urls, texts = zip(*done[k : k + 512], strict=True)
+                yield batches_of(schema, ids, urls, texts, [len(x) for x in texts])
+            done.clear()
 
-        schema = None
         for batch in batches:
             schema = schema or pa.schema([("page_id", batch.schema.field(0).type), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-            done = []
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                window.append(row)
-                if len(window) == 3:
-                    done.append(finished(1))
-                elif len(window) == 2:
-                    done.append(finished(0))
-            if done:
-                ids, urls, texts = zip(*done, strict=True)
-                yield batches_of(schema, ids, urls, texts, [len(x) for x in texts])
-        if window:
-            row = finished(len(window) - 1)
-            yield batches_of(schema, [row[0]], [row[1]], [row[2]], [len(row[2])])
+            for page, url, texts, inside, host in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                lines = list(zip(texts, inside, strict=True))
+                if runs and runs[-1][0] == host and runs[-1][1] == lines:
+                    runs[-1][2].append(page)
+                    runs[-1][3].append(url)
+                    continue
+                runs.append((host, lines, [page], [url]))
+                if len(runs) > 1:
+                    finish(len(runs) - 2)
+                    del runs[:-2]
+                if len(done) >= 512:
+                    yield from taken()
+        if runs:
+            finish(len(runs) - 1)
+            yield from taken()
 
     columns = sorted_pages.select("page_id", "url", "lines", "inside", "host")
     return columns.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars long")

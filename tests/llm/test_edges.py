@@ -130,6 +130,14 @@ def test_html(spark):
     assert found == {1: "One & two\naOne", 2: "Uno & two\naUno", 3: "", 4: "", 5: "alone"}
 
 
+def test_html_copies(spark):
+    page = "<body><div>Shared</div><p>{0}</p></body>"
+    texts = ["A", "B", "B", "B", "B", "C"]
+    pages = [(k, f"http://h.x/a/{k}", page.format(x)) for k, x in enumerate(texts)] + [(10 + k, "http://all.x/same", page.format("D")) for k in range(3)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [found[k] for k in range(6)] == texts and {found[10 + k] for k in range(3)} == {"Shared\nD"}
+
+
 def test_urls(spark):
     urls = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.ORG/es/1?x"), (4, "http://example.org/en/1/2"), (5, "https://x.com/fr/1#a"), (6, "http://notexample.org"), (7, "http://x.com/de/1"), (7, "http://x.com/de/1"), (8, "http://y.net/q")]
     found = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), URL_RULES).collect()}
