@@ -3,10 +3,14 @@
 A page is read into blocks (lines) with the context of each. What stands in navigation, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments by its element or its class and id words
 goes. Pages are then paired with their nearest neighbours by URL path within their host: lines are aligned
-by longest common subsequence, and what a page shares with a neighbour is template and is deleted. Lines
-inside an article or main element are never template: pages that are copies of each other share their text
-without being made of boilerplate. Adjacent pages of a host with equal lines are one run: its neighbours are
-the nearest earlier and later page of the host that differ, and all its copies get the same text.
+by longest common subsequence, and what a page shares with a neighbour is template and is deleted. Adjacent
+pages of a host with equal lines are one run: its neighbours are the nearest earlier and later page of the
+host that differ, and all its copies get the same text.
+
+Lines inside an article or main element need more evidence, since pages quote each other: they are template
+if the nearest four pages of the host have them too (all others, of three or four pages). Near copies share
+their text without being made of boilerplate: adjacent pages that share at least half of their article are a
+chain, and only pages of other chains are asked. Two pages, or one chain, can't tell; their articles stay whole.
 
 White space inside a block becomes one space; blocks are joined by one newline in page order.
 
@@ -50,6 +54,9 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
+#: Pages that have to share an article line before it is template; a host's edge has all of them on one side.
+WITNESSES = 4
+
 Line = tuple[str, bool]
 
 
@@ -193,23 +200,38 @@ def _last_match(places: int, row: int, below: int) -> int:
     return 0
 
 
-def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
-    """The page's lines without those it shares, outside an article, with a neighbour."""
+def near_copies(one: list[Line], other: list[Line]) -> bool:
+    """Whether two pages share at least half of the article characters of the one that has fewer."""
+    a, b = ([x for x, inside in lines if inside] for lines in (one, other))
+    if not a or not b or set(a).isdisjoint(b):
+        return False
+    common = sum(len(x) for x, same in zip(a, shared_lines(a, b), strict=True) if same)
+    return 2 * common >= min(sum(map(len, a)), sum(map(len, b)))
+
+
+def main_text(lines: list[Line], neighbours: list[list[Line]], witnesses: list[list[Line]]) -> str:
+    """The page's lines without the open ones that it shares with a neighbour, and without the article lines
+    that it shares with every witness, if there are two or more."""
     template = [False] * len(lines)
-    open_lines = [k for k, (_, protected) in enumerate(lines) if not protected]
-    if open_lines:
-        mine = [lines[k][0] for k in open_lines]
-        for other in neighbours:
-            theirs = [x for x, protected in other if not protected]
-            for k, same in zip(open_lines, shared_lines(mine, theirs), strict=True):
-                template[k] |= same
+    for protected, others, least in ((False, neighbours, 1), (True, witnesses, max(2, len(witnesses)))):
+        at = [k for k, (_, inside) in enumerate(lines) if inside == protected]
+        if not at or len(others) < least:
+            continue
+        mine, votes = [lines[k][0] for k in at], [0] * len(at)
+        for other in others:
+            theirs = [x for x, inside in other if inside == protected]
+            if not set(mine).isdisjoint(theirs):
+                votes = [n + same for n, same in zip(votes, shared_lines(mine, theirs), strict=True)]
+        for k, n in zip(at, votes, strict=True):
+            template[k] = n >= least
     return "\n".join(x for (x, _), gone in zip(lines, template, strict=True) if not gone)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page. Lines, not markup, go through the one shuffle, which
     sorts pages by host and path in ranges, so that a host of any size is dealt over many tasks; a run's
-    neighbours are those beside it in its range. Of a run, the lines are held once, with its ids and urls."""
+    neighbours are those beside it in its range. A task holds the chain it reads and a few before it: of a run
+    the lines once, with its ids and urls."""
     small_batches(pages.sparkSession)
     chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     kind = chosen.schema["page_id"].dataType.simpleString()
@@ -229,13 +251,32 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     sorted_pages = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
 
     def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: list[tuple] = []  # the run before, the one to finish and, at last, the one after: (host, lines, ids, urls)
-        schema, done = None, []
+        schema, done, host = None, [], None
+        # The last chains of the host, each a list of runs (lines, ids, urls); ``ready``: those that are finished.
+        chains: list[list[tuple]] = []
+        ready = 0
 
         def finish(at: int) -> None:
-            host, lines, ids, urls = runs[at]
-            text = main_text(lines, [runs[k][1] for k in (at - 1, at + 1) if 0 <= k < len(runs) and runs[k][0] == host])
-            done.extend((page, url, text) for page, url in zip(ids, urls, strict=True))
+            chain, last = chains[at], len(chains) - 1
+            # half of the witnesses on each side, more on one side at the host's edge
+            start = max(0, min(at - WITNESSES // 2, last - WITNESSES))
+            witnesses = [chains[k][-1 if k < at else 0][0] for k in range(start, min(last, start + WITNESSES) + 1) if k != at]
+            before, after = chains[at - 1][-1:] if at else [], chains[at + 1][:1] if at < last else []
+            beside = [None] * (not before) + [x[0] for x in [*before, *chain, *after]] + [None] * (not after)
+            for k, (lines, ids, urls) in enumerate(chain):
+                text = main_text(lines, [x for x in (beside[k], beside[k + 2]) if x is not None], witnesses)
+                done.extend((page, url, text) for page, url in zip(ids, urls, strict=True))
+
+        def settle(ended: bool) -> None:
+            """Finish the chains that have enough after them, or all at the host's end."""
+            nonlocal ready
+            while ready < len(chains) - (0 if ended else WITNESSES):
+                finish(ready)
+                ready += 1
+            # finished chains are read as witnesses of later ones
+            gone = max(0, ready - WITNESSES)
+            del chains[:gone]
+            ready -= gone
 
         def taken() -> Iterator[pa.RecordBatch]:
             for k in range(0, len(done), 512):
@@ -245,21 +286,24 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
 
         for batch in batches:
             schema = schema or pa.schema([("page_id", batch.schema.field(0).type), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-            for page, url, texts, inside, host in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for page, url, texts, inside, name in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 lines = list(zip(texts, inside, strict=True))
-                if runs and runs[-1][0] == host and runs[-1][1] == lines:
-                    runs[-1][2].append(page)
-                    runs[-1][3].append(url)
-                    continue
-                runs.append((host, lines, [page], [url]))
-                if len(runs) > 1:
-                    finish(len(runs) - 2)
-                    del runs[:-2]
+                if name != host:
+                    settle(True)
+                    chains.clear()
+                    host, ready = name, 0
+                if chains and chains[-1][-1][0] == lines:
+                    chains[-1][-1][1].append(page)
+                    chains[-1][-1][2].append(url)
+                elif chains and near_copies(chains[-1][-1][0], lines):
+                    chains[-1].append((lines, [page], [url]))
+                else:
+                    chains.append([(lines, [page], [url])])
+                    settle(False)
                 if len(done) >= 512:
                     yield from taken()
-        if runs:
-            finish(len(runs) - 1)
-            yield from taken()
+        settle(True)
+        yield from taken()
 
     columns = sorted_pages.select("page_id", "url", "lines", "inside", "host")
     return columns.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars long")

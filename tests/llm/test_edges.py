@@ -138,6 +138,20 @@ def test_html_copies(spark):
     assert [found[k] for k in range(6)] == texts and {found[10 + k] for k in range(3)} == {"Shared\nD"}
 
 
+def test_html_article_template(spark):
+    page = "<article><p>{0}</p><p>Read our offer</p></article>"
+    own = [f"{w} text of its own, {w} and more of {w}" for w in ("red", "green", "blue", "grey", "pink", "black")]
+    pages = [(k, f"http://h.x/{k}", page.format(x)) for k, x in enumerate(own)]
+    # copies and near copies keep what they share; a line that one page quotes from another stays
+    pages += [(10 + k, f"http://copies.x/{k}", f"<main><p>{own[0]}</p><p>{own[1]}</p><p>n{k}</p></main>") for k in range(6)]
+    pages += [(20 + k, f"http://quotes.x/{k}", f"<main><p>{x}{x}</p><p>{'quoted' if k in (2, 3) else k}</p></main>") for k, x in enumerate(own)]
+    pages += [(30 + k, f"http://two.x/{k}", page.format(x)) for k, x in enumerate(own[:2])]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert [found[k] for k in range(6)] == own
+    assert [found[10 + k] for k in range(6)] == [f"{own[0]}\n{own[1]}\nn{k}" for k in range(6)]
+    assert found[22].endswith("\nquoted") and found[23].endswith("\nquoted") and [found[30 + k] for k in range(2)] == [f"{x}\nRead our offer" for x in own[:2]]
+
+
 def test_urls(spark):
     urls = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.ORG/es/1?x"), (4, "http://example.org/en/1/2"), (5, "https://x.com/fr/1#a"), (6, "http://notexample.org"), (7, "http://x.com/de/1"), (7, "http://x.com/de/1"), (8, "http://y.net/q")]
     found = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), URL_RULES).collect()}
