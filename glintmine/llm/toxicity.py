@@ -112,11 +112,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading: Viterbi over states (last two letters), the best path kept for each."""
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest reading: Viterbi over states (last two letters), the best path kept for each. A path is
+    (letters, path before), so the work is linear in the token's length."""
+    beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for readings in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, done) in beam.items():
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in beam.items():
             for letters, cost in readings:
                 x, y, s = a, b, score - cost
                 for ch in letters:
@@ -124,11 +125,15 @@ def decode(token: str, model: np.ndarray) -> str:
                     s += float(model[x, y, k])
                     x, y = y, k
                 found = after.get((x, y))
-                if found is None or (s, done + letters) > found:
-                    after[(x, y)] = (s, done + letters)
+                if found is None or s > found[0]:
+                    after[(x, y)] = (s, (letters, path))
         beam = after
-    best = max(((s + float(model[a, b, 0]), done) for (a, b), (s, done) in beam.items()), default=(0.0, ""))
-    return best[1]
+    _, path = max(((s + float(model[a, b, 0]), path) for (a, b), (s, path) in beam.items()), key=lambda x: x[0])
+    parts = []
+    while path is not None:
+        letters, path = path
+        parts.append(letters)
+    return "".join(reversed(parts))
 
 
 class Restorer:
@@ -138,11 +143,14 @@ class Restorer:
         self.model, self.most, self.known = model, most, {}
 
     def word(self, token: str) -> str:
-        if token not in self.known:
+        found = self.known.get(token)
+        if found is None:
+            found = decode(token, self.model)
             if len(self.known) > self.most:
                 self.known.clear()
-            self.known[token] = decode(token, self.model) if len(token) <= 80 else token
-        return self.known[token]
+            if len(token) <= 80:  # longer ones are restored too, but not remembered
+                self.known[token] = found
+        return found
 
     def words(self, text: str | None) -> set[str]:
         """The different words of the whole restored text, lower-cased."""

@@ -116,6 +116,13 @@ def test_toxicity_restores():
     assert restore.words(None) == set() and restore.words("good book") == {"good", "book"}
 
 
+def test_toxicity_restores_long_tokens():
+    counts = toxicity.trigram_counts(["the idiot said that the stupid book was good and this idiot is stupid"] * 50)
+    restore = toxicity.Restorer(toxicity.log_model(counts))
+    assert "idiot" in restore.words(f"the id{'i' * 200}ot said")
+    assert "idiot" * 40 in restore.words(f"the {'1d10t' * 40} said")
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, docs["doc_id"].isNotNull(), "doc_id", "text", "doc_id", "toxic")
