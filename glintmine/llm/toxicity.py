@@ -33,10 +33,11 @@ _CODE[[ord(c) for c in LETTERS]] = np.arange(1, SIDE)
 AT = {c: i + 1 for i, c in enumerate(LETTERS)}
 
 _SIGNS = re.escape("".join(LEET))
-#: A word; a word with signs among or after its letters; single characters with gaps of one sign or space.
+#: A word; a word with signs among or after its letters; three or more single characters with gaps between.
 PLAIN = re.compile(r"[^\W\d_]+")
 MIXED = re.compile(rf"[^\W_{_SIGNS}]*(?:[{_SIGNS}]+[^\W\d_]+)+[{_SIGNS}]*|[^\W\d_]+[{_SIGNS}]*[^\W\d_][@$013457]+(?!\w)")
-SPACED = re.compile(rf"(?<!\w)(?:[^\W\d_]|[{_SIGNS}])(?:([ .*_-])(?:[^\W\d_]|[{_SIGNS}]))(?:\1(?:[^\W\d_]|[{_SIGNS}])){{2,38}}(?!\w)")
+SPACED = re.compile(rf"(?<![^\W_])(?:[^\W\d_]|[{_SIGNS}])(?:[ .*_-]+(?:[^\W\d_]|[{_SIGNS}])){{2,}}(?![^\W_])")
+GAP = re.compile(r"[ .*_-]+")
 HELD = re.compile(r"([^\W\d_])\1\1")
 TRIGGER = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|[{_SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[@$013457](?!\w)")
 
@@ -87,9 +88,10 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log((three + 4 * p2[None]) / (three.sum(2, keepdims=True) + 4)).astype(np.float32)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str, ends: bool = False) -> list[list[tuple[str, float]]]:
     """For each place the readings (letters, cost): a sign may be any letter it stands for or, at a price,
-    nothing; a letter that is held down is one or two; a gap is nothing."""
+    nothing; a letter that is held down is one or two; a gap is nothing. With ``ends``, a word may end between
+    any two characters, and a space in the token is a wide gap, which costs something to read over."""
     places: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -97,30 +99,53 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         j = i
         while j < len(token) and token[j] == c:
             j += 1
+        if ends and places and c != " " and token[i - 1] != " ":
+            places.append([("", 0.0), (" ", 0.0)])
         if c in AT:
             if j - i >= 3:
                 places.append([(c, 0.0), (c + c, 1.0)])
+                if ends:  # a word's last letters and the next one's first; nothing is held if none is dropped
+                    places[-1] += [(x, 0.0 if len(x) - 1 == j - i else 1.0) for x in (f"{c} {c}", f"{c}{c} {c}", f"{c} {c}{c}", f"{c}{c} {c}{c}") if len(x) - 1 <= j - i]
             else:
                 places.append([(c * (j - i), 0.0)])
+                if ends and j - i == 2:
+                    places[-1].append((f"{c} {c}", 0.0))
         elif c in LEET:
-            for _ in range(min(2, j - i)):
+            for k in range(min(2, j - i)):
+                if ends and k:
+                    places.append([("", 0.0), (" ", 0.0)])
                 places.append([(x, 0.5) for x in LEET[c]] + [("", 3.0)])
         elif c.isalpha():
             places.append([(c, 0.0)])
+        elif ends and c == " ":
+            places.append([(" ", 0.0), ("", 3.0)])
         i = j
     return places
 
 
-def decode(token: str, model: np.ndarray) -> str:
+def spelled(run: str) -> str:
+    """The characters of a run that is spelled with gaps, with a space for each gap wider than its narrowest."""
+    gaps = GAP.findall(run)
+    least = min(map(len, gaps))
+    letters = GAP.split(run)
+    return letters[0] + "".join((" " if len(g) > least else "") + c for g, c in zip(gaps, letters[1:], strict=True))
+
+
+def decode(token: str, model: np.ndarray, ends: bool = False) -> str:
     """The likeliest reading: Viterbi over states (last two letters), the best path kept for each. A path is
-    (letters, path before), so the work is linear in the token's length."""
+    (letters, path before), so the work is linear in the token's length. With ``ends``, the reading's words have
+    spaces between."""
     beam: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for readings in lattice(token):
+    for readings in lattice(token, ends):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, path) in beam.items():
             for letters, cost in readings:
                 x, y, s = a, b, score - cost
                 for ch in letters:
+                    if ch == " ":  # after an edge, another one is nothing
+                        s += float(model[x, y, 0]) if y else 0.0
+                        x = y = 0
+                        continue
                     k = AT.get(ch, 0)
                     s += float(model[x, y, k])
                     x, y = y, k
@@ -142,14 +167,14 @@ class Restorer:
     def __init__(self, model: np.ndarray, most: int = 100_000):
         self.model, self.most, self.known = model, most, {}
 
-    def word(self, token: str) -> str:
-        found = self.known.get(token)
+    def word(self, token: str, ends: bool = False) -> str:
+        found = self.known.get((token, ends))
         if found is None:
-            found = decode(token, self.model)
+            found = decode(token, self.model, ends)
             if len(self.known) > self.most:
                 self.known.clear()
             if len(token) <= 80:  # longer ones are restored too, but not remembered
-                self.known[token] = found
+                self.known[token, ends] = found
         return found
 
     def words(self, text: str | None) -> set[str]:
@@ -163,9 +188,11 @@ class Restorer:
         if TRIGGER.search(text):
             words.update(self.word(m.group()) for m in MIXED.finditer(text))
         for m in SPACED.finditer(text):
-            letters = m.group()[::2]
-            if len(set(letters)) > 2:
-                words.add(self.word(letters))
+            run = spelled(m.group())
+            letters = run.replace(" ", "")
+            if len(set(letters)) > 1:
+                words.add(self.word(letters))  # the run as one word, and its likeliest words
+                words.update(self.word(run, True).split())
         return words
 
 

@@ -123,6 +123,20 @@ def test_toxicity_restores_long_tokens():
     assert "idiot" * 40 in restore.words(f"the {'1d10t' * 40} said")
 
 
+def test_toxicity_restores_spelled_runs():
+    sentence = "the idiot said that the ass read a stupid book and the good ass thinks this idiot is stupid"
+    restore = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts([sentence] * 50)))
+    spell = lambda text, gap: gap.join(text.replace(" ", ""))
+    for text in ("a s s", "i  d  i  o  t", "i . d . i . o . t", "1 d 1 0 t", "_i_d_i_o_t_"):
+        assert restore.words(f"the {text} said") & {"ass", "idiot"}, text
+    for gap in (" ", "  ", ".", "_"):
+        assert {"idiot", "stupid", "book", "ass"} <= restore.words(spell(sentence, gap)), gap
+    # wider gaps end words; a letter is shared by two words; any length
+    assert {"the", "ass", "stupid"} <= restore.words("t h e   a s s   s t u p i d")
+    assert {"ass", "stupid"} <= restore.words("t h e a s s s t u p i d")
+    assert "idiot" in restore.words(spell("the good book " * 60 + "idiot" + " the good book" * 60, " "))
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, docs["doc_id"].isNotNull(), "doc_id", "text", "doc_id", "toxic")
