@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, per_row, small_batches
+from .common import batches_of, materialize, per_row, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of the longest n-gram
@@ -100,39 +101,50 @@ class Scorer:
         return self.rows[at].sum(0)
 
 
-def fit(docs: DataFrame, text: str, lang: str, usable: Column, salt: Column, per_language: int = 3000, most_words: int = 60_000, most_grams: int = 60_000) -> LanguageModel:
+def fit(docs: DataFrame, text: str, lang: str, usable: Column, salt: Column, per_language: int = 3000, most_words: int = 60_000, most_grams: int = 60_000, most_languages: int = 200) -> LanguageModel:
     """Learn from the rows where ``usable`` holds and text and language are not null. Bounded by
-    parameters: about ``per_language`` rows of each language are drawn by the hash of ``salt``, and the
-    tables keep the most frequent ``most_words`` words and ``most_grams`` n-grams."""
+    parameters: about ``per_language`` rows of each of the ``most_languages`` most frequent languages (others
+    are not learned) are drawn by the hash of ``salt``, and the tables keep the most frequent ``most_words``
+    words and ``most_grams`` n-grams. All limits hold for counts over the whole sample, so the model does not
+    depend on how rows are dealt over tasks."""
     rows = docs.select(F.col(text).alias("t"), F.col(lang).alias("l"), salt.alias("s"), usable.alias("u")).where("u and t is not null and l is not null")
-    have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(200).toLocalIterator()}
+    have = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).toLocalIterator()}
     languages = sorted(have)
     if not languages:
         return LanguageModel([], [], {}, {})
     rate = F.create_map(*[x for k, n in have.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     draw = F.pmod(F.xxhash64("s"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.where(draw < F.try_element_at(rate, F.col("l"))).select("l", "t")
-    schema = pa.schema([("l", pa.string()), ("n", pa.int32()), ("f", pa.string()), ("c", pa.int64())])
+    word_schema = pa.schema([("l", pa.string()), ("f", pa.string()), ("c", pa.int64())])
+    gram_schema = pa.schema([("l", pa.string()), ("n", pa.int32()), ("f", pa.string()), ("c", pa.int64())])
 
-    def count(batches):
+    def pieces_of(found: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(found), 20_000):
+            yield batches_of(schema, *zip(*found[i : i + 20_000], strict=True))
+
+    def count_words(batches):
         words: dict[str, Counter] = {}
         for batch in batches:
             for l, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.setdefault(l, Counter()).update(letters(t))
         for l, found in words.items():
-            parts: list[Counter] = [found, *(Counter() for _ in range(LONGEST))]
-            for w, c in found.items():
+            yield from pieces_of([(l, w, c) for w, c in found.items()], word_schema)
+
+    def count_grams(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for l, w, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for n in range(1, LONGEST + 1):
                     for g in grams(w, n):
-                        parts[n][g] += min(c, 8)
-            for n, part in enumerate(parts):
-                # a feature seen once by a task says little and is most of what there is
-                kept = [(f, c) for f, c in part.items() if c > 1 or n < 3 and n > 0 or len(found) < 2000]
-                for i in range(0, len(kept), 20_000):
-                    some = kept[i : i + 20_000]
-                    yield batches_of(schema, [l] * len(some), [n] * len(some), [f for f, _ in some], [c for _, c in some])
-
-    counted = sample.mapInArrow(count, "l string, n int, f string, c long").groupBy("n", "f", "l").agg(F.sum("c").alias("c"))
+                        found[l, n, g] += min(c, 8)  # one frequent word is not the whole evidence of its n-grams
+        yield from pieces_of([(*k, c) for k, c in found.items()], gram_schema)
+
+    whole = materialize(sample.mapInArrow(count_words, "l string, f string, c long").groupBy("l", "f").agg(F.sum("c").alias("c")), "lang-words")
+    parts = whole.mapInArrow(count_grams, "l string, n int, f string, c long").groupBy("l", "n", "f").agg(F.sum("c").alias("c"))
+    size = whole.groupBy("l").agg(F.count("*").alias("size"))
+    both = whole.select("l", F.lit(0).alias("n"), "f", "c").unionByName(parts)
+    # a feature seen once says little and is most of what there is
+    counted = both.join(F.broadcast(size), "l").where("c > 1 or n in (1, 2) or size < 2000")
     by = counted.groupBy("n", "f").agg(F.sum("c").alias("c"), F.map_from_entries(F.collect_list(F.struct("l", "c"))).alias("by"))
     words = by.where("n = 0").orderBy(F.desc("c"), "f").limit(most_words)
     pieces = by.where("n > 0").orderBy(F.desc("c"), "n", "f").limit(most_grams)

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glintmine.llm import decontaminate, html_text, lang_id, ngram_join, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
@@ -108,6 +109,16 @@ def test_language(docs, empty):
     assert lang_id.identify(docs, [docs["doc_id"]], "text", lang_id.LanguageModel([], [], {}, {})).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_fit_does_not_depend_on_tasks(spark):
+    spell = lambda k, letters: "".join(letters[int(x)] for x in f"{k:05d}")
+    texts = [(k, l, " ".join(spell(k * 25 + i, abc) for i in range(25)) + " often" * 3 + f" {spell(k // 2, abc)}") for l, abc in (("x", "abcdefghij"), ("y", "klmnopqrst")) for k in range(100)]
+    df = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    fit = lambda n: lang_id.fit(df.repartition(n, "doc_id"), "text", "lang", F.lit(True), F.col("doc_id"))
+    one, many = fit(1), fit(16)
+    assert one == many and len(one.words) == 101 and one.languages == ["x", "y"]
+    assert lang_id.fit(df, "text", "lang", F.lit(True), F.col("doc_id"), most_languages=1).languages == ["x"]
+
+
 def test_toxicity_restores():
     counts = toxicity.trigram_counts(["the idiot said that the stupid book was good and this idiot is stupid"] * 50)
     restore = toxicity.Restorer(toxicity.log_model(counts))
