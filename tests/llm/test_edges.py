@@ -193,6 +193,17 @@ def test_urls(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
 
 
+def test_url_model_backs_off(spark):
+    # a table in which every cell holds a gram that no text has, but for the cells of single characters
+    known = spark.createDataFrame([("0:a", 1.0), ("0:b", -1.0)], "g string, ratio double").withColumn("key", F.xxhash64("g"))
+    known = known.select(url_filter.cell(F.col("key")).alias("place"), "key", "ratio")
+    alien = spark.range(1 << url_filter.TABLE_BITS).select(F.col("id").cast("int").alias("place"), F.lit(7).cast("long").alias("key"), F.lit(50.0).alias("ratio"))
+    model = url_filter.as_array(known.unionByName(alien.join(known, "place", "left_anti")))
+    texts = spark.createDataFrame([("^" * url_filter.ORDER + x,) for x in ("a", "ab", "aab", "bbz")], "text string")
+    found = {r["text"].strip("^"): r["score"] for r in url_filter.scored(texts, model).collect()}
+    assert found["a"] == 1 and found["ab"] == 0 and found["aab"] == pytest.approx(1 / 3) and found["bbz"] == pytest.approx(-2 / 3)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
