@@ -74,6 +74,16 @@ def test_repeated_windows(spark):
     assert got(found) == sorted(((i, *brute.quality(t)[:-1]) for i, t in rows), key=str)
 
 
+def test_quality_orders_by_cost(spark):
+    # both rules reject every text; repeated windows cost far more than a count of symbols
+    texts = spark.createDataFrame([(" ".join(f"w{i % 400}" for i in range(k, k + 900)),) for k in range(60)], "text string").coalesce(1).cache()
+    dear, cheap = quality.Rule("dear", F.col("n_repeat_words") >= 0), quality.Rule("cheap", F.col("n_symbols") >= 0)
+    assert [r.name for r in quality.ordered(texts, [dear, cheap])] == ["cheap", "dear"]
+    judged = quality.judge(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).select("doc_id", "n_words", "kept")
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS n_upper" not in plan and "AS n_lines" not in plan and "Lu}" in plan  # worked out within the cascade
+
+
 def test_secrets(docs, empty):
     model = secret_scan.train(secret_scan.corpus_words(docs, "text"))
     for r in secret_scan.scan(docs, model).collect():
