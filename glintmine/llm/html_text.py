@@ -2,34 +2,39 @@
 
 A page is read into blocks (lines) with the context of each. What stands in navigation, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles and comments by its element or its class and id words
-goes. Pages are then paired with their nearest neighbours by URL path within their host: lines are aligned
-by longest common subsequence, and what a page shares with a neighbour is template and is deleted. Adjacent
-pages of a host with equal lines are one run: its neighbours are the nearest earlier and later page of the
-host that differ, and all its copies get the same text.
+goes. Pages of a host are then ordered by URL path and paired with the nearest pages of another kind: lines
+are aligned by longest common subsequence, and what a page shares with a neighbour is template and is deleted.
 
-Lines inside an article or main element need more evidence, since pages quote each other: they are template
-if the nearest four pages of the host have them too (all others, of three or four pages). Near copies share
-their text without being made of boilerplate: adjacent pages that share at least half of their article are a
-chain, and only pages of other chains are asked. Two pages, or one chain, can't tell; their articles stay whole.
+Copies share their text without being made of boilerplate, so pages are first put in classes: pages with
+equal lines are one text, and texts with the same longest line inside an article or main element are one
+class of near copies (a text without such lines is a class of its own). A class stands at its first path, its
+neighbours are the classes before and after it, however many pages they have, and all copies of a text get
+the same result. A line outside an article is template if the class before or after has it too. A line inside
+one needs more evidence, since pages quote each other: the nearest four classes must all have it (all others,
+of three or four classes; two classes can't tell).
+
+Ranks of classes within a host, blocks of ranks and neighbours follow from hosts, paths and lines alone, so the
+result does not depend on how rows are dealt over tasks. Lines are compared by 64-bit hashes, salted by the host.
 
 White space inside a block becomes one space; blocks are joined by one newline in page order.
 
-Edge cases: null and empty html give an empty text. A null url has an empty host and path. A page without a
-neighbour in its host is judged by its structure. Repeated rows are pages of their own. Extra columns are
-ignored.
+Edge cases: null and empty html give an empty text. A null url, or one without a host, has no neighbours: such
+pages, and those of a host with one class, are judged by their structure. Texts at the same path are ordered by
+their hash. Repeated rows are pages of their own, with equal results. Texts of any length are read whole. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, per_row, small_batches
+from .common import bit_filter, materialize, per_row, small_batches
 
 # Elements by what they do to the text.
 DROPPED = frozenset("script style noscript template nav footer aside form button select textarea input option iframe object embed svg canvas audio video head menu dialog datalist fieldset label".split())
@@ -54,8 +59,10 @@ ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?![\
 SPACE = re.compile(r"\s+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 
-#: Pages that have to share an article line before it is template; a host's edge has all of them on one side.
+#: Classes that have to share an article line before it is template; a host's edge has all of them on one side.
 WITNESSES = 4
+#: Ranks of classes that one task compares at once.
+BLOCK = 512
 
 Line = tuple[str, bool]
 
@@ -166,10 +173,10 @@ def _close(stack: list, tags: set[str], pop) -> None:
             return
 
 
-def shared_lines(mine: list[str], other: list[str]) -> list[bool]:
+def shared_lines(mine: list, other: list) -> list[bool]:
     """Which of ``mine`` are in a longest common subsequence with ``other``. The table's rows are bit sets
     (one integer a line), so it stays small and quick for long pages."""
-    places: dict[str, int] = {}
+    places: dict = {}
     for j, line in enumerate(other):
         places[line] = places.get(line, 0) | 1 << j
     full = (1 << len(other)) - 1
@@ -200,110 +207,147 @@ def _last_match(places: int, row: int, below: int) -> int:
     return 0
 
 
-def near_copies(one: list[Line], other: list[Line]) -> bool:
-    """Whether two pages share at least half of the article characters of the one that has fewer."""
-    a, b = ([x for x, inside in lines if inside] for lines in (one, other))
-    if not a or not b or set(a).isdisjoint(b):
-        return False
-    common = sum(len(x) for x, same in zip(a, shared_lines(a, b), strict=True) if same)
-    return 2 * common >= min(sum(map(len, a)), sum(map(len, b)))
-
-
-def main_text(lines: list[Line], neighbours: list[list[Line]], witnesses: list[list[Line]]) -> str:
-    """The page's lines without the open ones that it shares with a neighbour, and without the article lines
-    that it shares with every witness, if there are two or more."""
-    template = [False] * len(lines)
-    for protected, others, least in ((False, neighbours, 1), (True, witnesses, max(2, len(witnesses)))):
-        at = [k for k, (_, inside) in enumerate(lines) if inside == protected]
+def template(hashes: list[int], inside: list[bool], beside: list[tuple], witnesses: list[tuple]) -> list[int]:
+    """Places of the lines that are template, given (hashes, inside) of the classes beside a page's own, and of
+    the nearest ones that are asked about article lines."""
+    gone: list[int] = []
+    for protected, others, least in ((False, beside, 1), (True, witnesses, max(2, len(witnesses)))):
+        at = [k for k, x in enumerate(inside) if x == protected]
         if not at or len(others) < least:
             continue
-        mine, votes = [lines[k][0] for k in at], [0] * len(at)
-        for other in others:
-            theirs = [x for x, inside in other if inside == protected]
-            if not set(mine).isdisjoint(theirs):
-                votes = [n + same for n, same in zip(votes, shared_lines(mine, theirs), strict=True)]
-        for k, n in zip(at, votes, strict=True):
-            template[k] = n >= least
-    return "\n".join(x for (x, _), gone in zip(lines, template, strict=True) if not gone)
-
+        mine, votes = [hashes[k] for k in at], [0] * len(at)
+        for theirs in others:
+            other = [x for x, y in zip(*theirs, strict=True) if y == protected]
+            if not set(mine).isdisjoint(other):
+                votes = [n + same for n, same in zip(votes, shared_lines(mine, other), strict=True)]
+        gone += [k for k, n in zip(at, votes, strict=True) if n >= least]
+    return sorted(gone)
+
+
+def _parse():
+    """Adds a page's lines, with their hashes (salted by the host), the hash of all, and its class."""
+    import xxhash
+
+    digest = lambda x: xxhash.xxh3_64_intdigest(x) - (1 << 63)
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lines, flags, hashes, whole, kinds = [], [], [], [], []
+        for host, html in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            parsed = lines_of(html)
+            salt = host.encode("utf-8", "surrogatepass") + b"\n"
+            hs = [digest(salt + x.encode("utf-8", "surrogatepass")) for x, _ in parsed]
+            own = digest(salt + np.asarray(hs, np.int64).tobytes() + bytes(y for _, y in parsed))
+            longest = max(((len(x), h) for (x, y), h in zip(parsed, hs, strict=True) if y), default=None)
+            lines.append([x for x, _ in parsed])
+            flags.append([y for _, y in parsed])
+            hashes.append(hs)
+            whole.append(own)
+            kinds.append(own if longest is None else longest[1])
+        new = [pa.array(lines, pa.list_(pa.string())), pa.array(flags, pa.list_(pa.bool_())), pa.array(hashes, pa.list_(pa.int64())), pa.array(whole, pa.int64()), pa.array(kinds, pa.int64())]
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], *new], names=[*batch.schema.names[:4], "lines", "inside", "hashes", "page", "kind"])
+
+    return step
+
+
+def _texts(parsed: DataFrame) -> DataFrame:
+    """(host, page, kind, path, at, hashes, inside): each different text of a host at its first path, with those
+    of its lines that some page of another class may have too (by a bit filter, which may let others pass)."""
+    hosted = parsed.where("host != ''")
+    seen = hosted.select("kind", F.explode(F.array_distinct("hashes")).alias("x")).groupBy("x").agg(F.min("kind").alias("low"), F.max("kind").alias("high"))
+    maybe = bit_filter(seen.where("low != high").select("x"), "x", marks=2)
+
+    def shared():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            lists, flags = batch.column(4), batch.column(5)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            bounds = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            keep = maybe.value.maybe(flat.view(np.uint64))
+            inside = flags.flatten().to_numpy(zero_copy_only=False)
+            place = np.arange(len(flat)) - np.repeat(bounds[:-1], np.diff(bounds))
+            cuts = pa.array(np.concatenate([[0], np.cumsum(keep)])[bounds].astype(np.int32))
+            some = [pa.array(place[keep].astype(np.int32)), pa.array(flat[keep]), pa.array(inside[keep])]
+            return pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.ListArray.from_arrays(cuts, x) for x in some)], names=["host", "page", "kind", "path", "at", "hashes", "inside"])
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every page. Lines, not markup, go through the one shuffle, which
-    sorts pages by host and path in ranges, so that a host of any size is dealt over many tasks; a run's
-    neighbours are those beside it in its range. A task holds the chain it reads and a few before it: of a run
-    the lines once, with its ids and urls."""
-    small_batches(pages.sparkSession)
-    chosen = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
-    kind = chosen.schema["page_id"].dataType.simpleString()
+        return step
 
-    def parse():
+    kept = hosted.select("host", "page", "kind", "path", "hashes", "inside").mapInArrow(per_row(shared), "host string, page long, kind long, path string, at array<int>, hashes array<long>, inside array<boolean>")
+    return kept.groupBy("host", "page", "kind").agg(F.min("path").alias("path"), *[F.first(x).alias(x) for x in ("at", "hashes", "inside")])
+
+
+def _neighbours(texts: DataFrame) -> DataFrame:
+    """(host, kind, rank, near): each class with the nearest classes of its host, ``near`` as (rank, hashes,
+    inside). Classes are ranked within their host by path: sorted in ranges, so that a host of any size is dealt
+    over many tasks, numbered within each range and shifted by the ranges before. Neighbours are found in
+    blocks of ranks, with the classes just outside added to each block."""
+    first = F.struct("path", "page")
+    classes = texts.groupBy("host", "kind").agg(F.min(first).alias("first"), F.min_by(F.struct("hashes", "inside"), first).alias("body"))
+    classes = materialize(classes.select("host", "kind", "first.path", "first.page", "body"), "html-classes")
+    ranges = materialize(classes.repartitionByRange("host", "path", "page").withColumn("part", F.spark_partition_id()), "html-ranges")
+    before = Window.partitionBy("host").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("host")
+    shift = ranges.groupBy("host", "part").agg(F.count("*").alias("n"))
+    shift = shift.select("host", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"), F.sum("n").over(whole).alias("classes")).where("classes > 1")
+    number = F.row_number().over(Window.partitionBy("host", "part").orderBy("path", "page")) - 1
+    ranked = ranges.withColumn("number", number).join(shift, ["host", "part"]).withColumn("rank", F.col("number") + F.col("shift"))
+    block = F.floor(F.col("rank") / BLOCK)
+    edges = F.array_distinct(F.transform(F.array(F.lit(-WITNESSES), F.lit(0), F.lit(WITNESSES)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
+    dealt = ranked.select("host", "kind", "rank", "classes", "body", block.alias("own"), F.explode(edges).alias("block"))
+    around = Window.partitionBy("host", "block").orderBy("rank").rowsBetween(-WITNESSES, WITNESSES)
+    near = dealt.withColumn("near", F.collect_list(F.struct("rank", "body.hashes", "body.inside")).over(around)).where("own = block")
+    # as many on one side as on the other, more on one side at the host's edge
+    start = F.greatest(F.lit(0), F.least(F.col("rank") - WITNESSES // 2, F.col("classes") - 1 - WITNESSES))
+    asked = F.filter("near", lambda x: (x["rank"] >= start) & (x["rank"] <= start + WITNESSES) & (x["rank"] != F.col("rank")))
+    return near.select("host", "kind", "rank", asked.alias("near"))
+
+
+def _templates(texts: DataFrame) -> DataFrame:
+    """(page, gone): the places of template lines, of the texts that have any. A class that a third of all texts
+    belong to is a skewed partition of the join, which Spark splits; it streams through, one text at a time."""
+    pairs = texts.where(F.size("at") > 0).join(_neighbours(texts), ["host", "kind"]).select("page", "at", "hashes", "inside", "rank", "near")
+
+    def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parsed = [lines_of(x) for x in batch.column(2).to_pylist()]
-            texts = pa.array([[x for x, _ in p] for p in parsed], pa.list_(pa.string()))
-            flags = pa.array([[y for _, y in p] for p in parsed], pa.list_(pa.bool_()))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, flags], names=["page_id", "url", "lines", "inside"])
+            pages, gone = [], []
+            for page, at, hashes, inside, rank, near in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bodies = [(x["hashes"], x["inside"], abs(x["rank"] - rank)) for x in near]
+                places = template(hashes, inside, [x[:2] for x in bodies if x[2] == 1], [x[:2] for x in bodies])
+                if places:
+                    pages.append(page)
+                    gone.append([at[k] for k in places])
+            return pa.RecordBatch.from_arrays([pa.array(pages, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["page", "gone"])
 
         return step
 
-    parsed = chosen.mapInArrow(per_row(parse), f"page_id {kind}, url string, lines array<string>, inside array<boolean>")
-    rest = F.substring_index(F.substring_index(F.coalesce("url", F.lit("")), "#", 1), "?", 1)
-    placed = parsed.withColumns({"host": F.lower(F.regexp_extract(rest, r"^[^:/]*://([^/]*)", 1)), "path": F.regexp_extract(rest, r"^[^:/]*://[^/]*(.*)$", 1)})
-    sorted_pages = placed.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-
-    def difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema, done, host = None, [], None
-        # The last chains of the host, each a list of runs (lines, ids, urls); ``ready``: those that are finished.
-        chains: list[list[tuple]] = []
-        ready = 0
-
-        def finish(at: int) -> None:
-            chain, last = chains[at], len(chains) - 1
-            # half of the witnesses on each side, more on one side at the host's edge
-            start = max(0, min(at - WITNESSES // 2, last - WITNESSES))
-            witnesses = [chains[k][-1 if k < at else 0][0] for k in range(start, min(last, start + WITNESSES) + 1) if k != at]
-            before, after = chains[at - 1][-1:] if at else [], chains[at + 1][:1] if at < last else []
-            beside = [None] * (not before) + [x[0] for x in [*before, *chain, *after]] + [None] * (not after)
-            for k, (lines, ids, urls) in enumerate(chain):
-                text = main_text(lines, [x for x in (beside[k], beside[k + 2]) if x is not None], witnesses)
-                done.extend((page, url, text) for page, url in zip(ids, urls, strict=True))
-
-        def settle(ended: bool) -> None:
-            """Finish the chains that have enough after them, or all at the host's end."""
-            nonlocal ready
-            while ready < len(chains) - (0 if ended else WITNESSES):
-                finish(ready)
-                ready += 1
-            # finished chains are read as witnesses of later ones
-            gone = max(0, ready - WITNESSES)
-            del chains[:gone]
-            ready -= gone
-
-        def taken() -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(done), 512):
-                ids, urls, texts = zip(*done[k : k + 512], strict=True)
-                yield batches_of(schema, ids, urls, texts, [len(x) for x in texts])
-            done.clear()
-
-        for batch in batches:
-            schema = schema or pa.schema([("page_id", batch.schema.field(0).type), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-            for page, url, texts, inside, name in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                lines = list(zip(texts, inside, strict=True))
-                if name != host:
-                    settle(True)
-                    chains.clear()
-                    host, ready = name, 0
-                if chains and chains[-1][-1][0] == lines:
-                    chains[-1][-1][1].append(page)
-                    chains[-1][-1][2].append(url)
-                elif chains and near_copies(chains[-1][-1][0], lines):
-                    chains[-1].append((lines, [page], [url]))
-                else:
-                    chains.append([(lines, [page], [url])])
-                    settle(False)
-                if len(done) >= 512:
-                    yield from taken()
-        settle(True)
-        yield from taken()
-
-    columns = sorted_pages.select("page_id", "url", "lines", "inside", "host")
-    return columns.mapInArrow(difference, f"page_id {kind}, url string, text string, n_chars long")
+    return pairs.mapInArrow(per_row(compare), "page long, gone array<int>")
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars) of every page. Pages are parsed once; hashes of lines travel, not lines, but
+    for pages that lose some."""
+    small_batches(pages.sparkSession)
+    rest = F.substring_index(F.substring_index(F.coalesce(F.col(url), F.lit("")), "#", 1), "?", 1)
+    chosen = pages.select(
+        F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.lower(F.regexp_extract(rest, r"^[^:/]*://([^/]*)", 1)).alias("host"),
+        F.regexp_extract(rest, r"^[^:/]*://[^/]*(.*)$", 1).alias("path"), F.col(html).alias("html"),
+    )
+    kind = chosen.schema["page_id"].dataType.simpleString()
+    columns = f"page_id {kind}, url string, host string, path string, lines array<string>, inside array<boolean>, hashes array<long>, page long, kind long"
+    parsed = materialize(chosen.mapInArrow(per_row(_parse), columns), "html-lines")
+    gone = materialize(_templates(materialize(_texts(parsed), "html-texts")), "html-templates")
+    losing = bit_filter(gone, "page", marks=2)
+
+    def split(wanted: bool):
+        def work():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array(losing.value.maybe(batch.column(3).to_numpy(zero_copy_only=False).view(np.uint64)) == wanted))
+
+            return step
+
+        return parsed.select("page_id", "url", "lines", "page").mapInArrow(per_row(work), f"page_id {kind}, url string, lines array<string>, page long")
+
+    # pages that surely lose nothing take no part in the join
+    cut = split(True).join(gone, "page", "left")
+    left = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, k: ~F.array_contains("gone", k)))
+    both = cut.select("page_id", "url", left.alias("lines")).unionByName(split(False).select("page_id", "url", "lines"))
+    text = both.select("page_id", "url", F.array_join("lines", "\n").alias("text"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

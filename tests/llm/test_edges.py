@@ -169,6 +169,7 @@ def test_html(spark):
     page = '<html><body><div id="cookie-notice">We use</div><header>H</header><div class="content"><p>{0} &amp; two<p>Three<br>x<ul><li>a{0}<li>b</ul><div class="comments"><p>no</p></div></div><div>Shared</div></body>'
     pages = [(1, "http://h.x/a/1", page.format("One")), (2, "http://h.x/a/2", page.format("Uno")), (3, None, None), (4, "x", ""), (5, "http://other/", "<p>alone")]
     found = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert found == {1: "One & two\naOne", 2: "Uno & two\naUno", 3: "", 4: "", 5: "alone"}
 
 
@@ -194,6 +195,45 @@ def test_html_article_template(spark):
     assert found[22].endswith("\nquoted") and found[23].endswith("\nquoted") and [found[30 + k] for k in range(2)] == [f"{x}\nRead our offer" for x in own[:2]]
 
 
+def test_html_does_not_depend_on_partitions(spark):
+    # one host, pages without an article: menus, notices and copies; the menu is longer than most texts
+    menu, notice = "Home | News | About us | Contact | Imprint", "We use what you think"
+    body = "<body><div>{menu}</div><p>{text}</p><p>{notice}</p></body>"
+    texts = [f"text {k // 3 if k % 7 == 0 else k} of a page" for k in range(60)]
+    pages = [(k, f"http://h.x/s{k % 5}/{k:03}", body.format(menu=menu, text=x, notice=notice)) for k, x in enumerate(texts)]
+    pages += [(100 + k, f"http://n.x/{k}", f"<body><article><p>{x} and some words more</p><p>{notice}</p></article></body>") for k, x in enumerate(texts)]
+    pages += [(200, None, "<p>no url</p>"), (201, None, "<p>no url</p>"), (202, "http://h.x/s1/001", pages[1][2]), (203, "HTTP://H.X/é?q", "<p>é</p>" * 3000)]
+    df = spark.createDataFrame([(*r, None, None, None) for r in pages], "page_id long, url string, html string, host string, lines string, page string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    found = []
+    try:
+        for n in (1, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            found.append(got(html_text.extract(df.repartition(n))))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] and len(found[0]) == len(pages)
+    text = {r[0]: r[2] for r in found[0]}
+    assert [text[k] for k in range(60)] == texts and text[202] == texts[1]
+    assert [text[100 + k] for k in range(60)] == [f"{x} and some words more" for x in texts]
+    assert text[200] == text[201] == "no url" and text[203].count("\n") == 2999
+
+
+def test_html_blocks_of_ranks(spark, monkeypatch):
+    # neighbours in other blocks, and hosts of two to seven classes
+    monkeypatch.setattr(html_text, "BLOCK", 4)
+    rows = [(f"http://h{n}.x/{k}", f"<main><p>own {k} words of page {k} in host {n}</p><p>offer</p></main><div>menu {k // 2}</div>") for n in range(2, 8) for k in range(n)]
+    pages = [(i, *r) for i, r in enumerate(rows)]
+    found = {r["url"]: r["text"].split("\n") for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for n in range(2, 8):
+        for k in range(n):
+            lines = found[f"http://h{n}.x/{k}"]
+            assert ("offer" in lines) == (n < 3), (n, k)
+            assert (f"menu {k // 2}" in lines) == (k == n - 1 and k % 2 == 0), (n, k)
+
+
 def test_urls(spark):
     urls = [(1, None), (2, "no scheme"), (3, "HTTP://A.Example.ORG/es/1?x"), (4, "http://example.org/en/1/2"), (5, "https://x.com/fr/1#a"), (6, "http://notexample.org"), (7, "http://x.com/de/1"), (7, "http://x.com/de/1"), (8, "http://y.net/q")]
     found = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), URL_RULES).collect()}
