@@ -20,11 +20,25 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, ``spark.checkpoint.dir``. Where it is unset, a local master gets
+    a folder of our own; on a cluster no machine's own folder will do, so that is an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir")
+    if not found and (set_by_user := context._jsc.sc().getCheckpointDir()).isDefined():
+        found = set_by_user.get()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="glintmine-")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(found)
+    return found
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder of ``spark.checkpoint.dir``; our own only where it is unset."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="glintmine-"))
+    """``df`` as a checkpoint in the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
