@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterable, Iterator
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import checkpoint_dir, reachable
 
 #: ``[^\x20\x09-\x0D]+``: the word rule that most contracts share (for Java's regular expressions).
 SPACES = r"[\x20\x09-\x0D]+"
@@ -27,15 +26,9 @@ _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir()
-    if not isinstance(found, str):
-        found = found.get() if found is not None and found.isDefined() else None
-    if found is None:
-        found = "file://" + tempfile.mkdtemp(prefix="glintmine-")
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
+    """The folder all executors share (``spark.checkpoint.dir``); one of our own where it is unset and the
+    master is local."""
+    return checkpoint_dir(spark).rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -68,10 +61,16 @@ def _release_quietly(ref) -> None:
         pass
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts can hold in a Python worker, which can import this package."""
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
+    """Bound what one Arrow batch of whole texts can hold in a Python worker, by rows and, since a text can be of
+    any length, by bytes; let workers import this package. Plans read these settings when they run, so they stay
+    set in the session; smaller ones that a user has chosen are kept."""
     reachable(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{name}", None)
+        now = int(now) if now and now.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
 
 
 def ascii_words(text: str | None) -> list[bytes]:
