@@ -1,13 +1,18 @@
 """Toxicity scores of deobfuscated text.
 
-Noisy-channel restoration: a word written with digits and signs for letters, with letters held down, or
-spelled with gaps becomes a lattice of readings, and Viterbi search finds the likeliest path under a
-character trigram model of all documents. The restored words are then scored by a sparse linear model over
-words and word beginnings and ends, fitted on labelled rows.
-
-Edge cases: null and empty texts have no evidence and get the base score. Rows are judged one by one, so
-repeated rows and ids give repeated results; extra columns are ignored. Without labelled rows of both kinds
-every score is 0.
+Noisy-channel restoration: a word written with digits and signs for letters, with letters held down, spelled
+with gaps or torn in pieces becomes a lattice of readings, in which gaps and word ends are readings too, and
+Viterbi search finds the likeliest path under a character trigram model of all documents. The restored words
+are then scored by a sparse linear model over words and word beginnings and ends, fitted on labelled rows.
+
+Words are in pieces everywhere in ordinary text, so pieces are decoded only where they make a word that the
+fitted model knows. A letter that is held down, and a run of one sign, count as one letter or two.
+
+Edge cases: null and empty texts have no evidence and get the base score. Texts, tokens and runs of any length
+are read whole. Rows are judged one by one, so repeated rows and ids give repeated results; extra columns are
+ignored, and may be called as anything. A label counts if a document has its id; an id with several labels is
+toxic if one of them says so. Among features of equal strength the first by name is kept. Without labelled rows
+of both kinds, or with an empty table, every score is 0.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, per_row, small_batches
+from .common import batches_of, materialize, per_row, small_batches
 
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e"}
@@ -164,8 +169,9 @@ def decode(token: str, model: np.ndarray, ends: bool = False) -> str:
 class Restorer:
     """Restores what looks obfuscated; any other word has a lattice of one path, itself."""
 
-    def __init__(self, model: np.ndarray, most: int = 100_000):
-        self.model, self.most, self.known = model, most, {}
+    def __init__(self, model: np.ndarray, wanted: frozenset[str] = frozenset(), most: int = 100_000):
+        self.model, self.wanted, self.most, self.known = model, wanted, most, {}
+        self.starts = {w[:k] for w in wanted for k in range(1, len(w))}
 
     def word(self, token: str, ends: bool = False) -> str:
         found = self.known.get((token, ends))
@@ -182,7 +188,9 @@ class Restorer:
         if not text:
             return set()
         text = text.lower()
-        words = set(PLAIN.findall(text))
+        plain = PLAIN.findall(text)
+        words = set(plain)
+        words.update(self.torn(plain, text))
         for w in [w for w in words if HELD.search(w)]:
             words.add(self.word(w))
         if TRIGGER.search(text):
@@ -196,6 +204,24 @@ class Restorer:
         return words
 
 
+    def torn(self, plain: list[str], text: str) -> list[str]:
+        """``wanted`` words in pieces with gaps between ("idi ot"), if the likeliest reading of the pieces has the
+        word whole."""
+        starts, wanted, found = self.starts, self.wanted, []
+        for i, piece in enumerate(plain):
+            if piece not in starts:
+                continue
+            for j in range(i + 1, len(plain)):
+                piece += plain[j]
+                if piece in wanted:
+                    parts = plain[i : j + 1]
+                    if re.search(r"(?<![^\W_])" + GAP.pattern.join(parts) + r"(?![^\W_])", text) and piece in self.word(" ".join(parts), True).split():
+                        found.append(piece)
+                if piece not in starts:
+                    break
+        return found
+
+
 def features(word: str) -> list[str]:
     """The word, and beginnings and ends of 4 to 6 characters, which inflected forms share."""
     n = len(word)
@@ -218,7 +244,7 @@ class ToxicityModel:
 class Judge:
     def __init__(self, model: ToxicityModel, most: int = 300_000):
         self.model, self.most = model, most
-        self.restore = Restorer(model.characters)
+        self.restore = Restorer(model.characters, frozenset(f[1:] for f in model.weights if f[0] == "="))
         self.weight: dict[str, float] = {}
 
     def raw(self, text: str | None) -> float:
@@ -246,7 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str, text: s
     characters = corpus_model(docs, text)
     marks = labels.select(F.col(label_id).alias("i"), F.col(label).cast("int").alias("y")).where("y in (0, 1) and i is not null").groupBy("i").agg(F.max("y").alias("y"))
     ids = docs.where(usable).select(F.col(doc_id).alias("i"))
-    counts = {r["y"]: r["n"] for r in marks.join(ids, "i", "left_semi").groupBy("y").agg(F.count("*").alias("n")).collect()}
+    marks = materialize(marks.join(ids, "i", "left_semi"), "toxicity-labels")  # what is drawn of these can be broadcast
+    counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return ToxicityModel({}, 0.0, 0.0, characters)
     draw = F.pmod(F.xxhash64("i"), F.lit(1 << 30)) / float(1 << 30)

@@ -158,11 +158,41 @@ def test_toxicity_restores_spelled_runs():
     assert "idiot" in restore.words(spell("the good book " * 60 + "idiot" + " the good book" * 60, " "))
 
 
+def test_toxicity_restores_torn_words():
+    sentence = "the idiot said that the ass read a stupid book and the good ass thinks this idiot is stupid"
+    restore = toxicity.Restorer(toxicity.log_model(toxicity.trigram_counts([sentence] * 50)), frozenset({"idiot", "stupid", "sit"}))
+    for text in ("the idi ot said", "the i-di ot said", "an id.iot", "i d  i o t", "i-d i.o t"):
+        assert "idiot" in restore.words(text), text
+    assert "stupid" in restore.words("a s tupid book") and "stupid" in restore.words("stu*pid")
+    # nothing between that is no gap, no longer word around, and no reading that the language does not have
+    for text in ("idi, ot", "idi\not", "xidi ot", "idi otx", "idi read ot"):
+        assert "idiot" not in restore.words(text), text
+    assert "sit" not in restore.words("the book is it")
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, docs["doc_id"].isNotNull(), "doc_id", "text", "doc_id", "toxic")
     assert {r["score"] for r in toxicity.score(docs, [docs["doc_id"]], "text", model).collect()} == {0.0}
     assert toxicity.score(empty, [empty["doc_id"]], "text", model).count() == 0
+    none = toxicity.fit(empty, labels, empty["doc_id"].isNotNull(), "doc_id", "text", "doc_id", "toxic")
+    assert not none.usable() and not none.weights
+
+
+def test_toxicity_rows(spark):
+    # repeated rows and labels, nulls, a very long text, and extra columns with the names of results
+    good, bad = "the quiet book was read by many good people in town", "you stupid idiot read this idiot book of stupid people"
+    rows = [(k, f"{bad if k % 2 else good} n{k // 2}") for k in range(120)] + [(None, bad), (500, None), (501, ""), (502, good), (502, good), (503, f"{good} " * 4000 + "1d10t stup1d"), (1, f"{bad} n0")]
+    df = spark.createDataFrame([(*r, 0.5, "x", "y") for r in rows], "doc_id long, text string, score double, t string, i string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)] + [(1, 0), (0, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, df["doc_id"].isNotNull(), "doc_id", "text", "doc_id", "toxic")
+    found = toxicity.score(df, [df["doc_id"]], "text", model)
+    assert found.columns == ["doc_id", "score", "predicted"] and found.count() == len(rows)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r["doc_id"], set()).add((r["score"], r["predicted"]))
+    assert all(by[k] == by[k % 2] for k in range(120)) and len(by[502]) == 1 and by[500] == by[501]
+    assert next(iter(by[1]))[1] == 1 and next(iter(by[0]))[1] == 0 and next(iter(by[503]))[1] == 1 and next(iter(by[None]))[1] == 1
 
 
 def test_html(spark):
