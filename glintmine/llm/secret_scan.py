@@ -1,11 +1,16 @@
 """Secret scans: base patterns plus character Markov models of random strings and ordinary identifiers.
 
 Both models are trained from labelled samples: random strings drawn from a seeded generator, and
-identifiers composed from the corpus's own words. A long token that no base pattern covers is a secret
-when its log-likelihood ratio, for each character, passes a threshold calibrated on held-out samples.
-
-Positions are code points, ends exclusive. Null and empty texts have no spans. Rows are judged one by one,
-so repeated rows and ids give repeated results; extra columns are ignored.
+identifiers and numbers composed from the corpus's own words. A token of ``LEAST`` or more characters is a
+secret when its log-likelihood ratio, for each character, passes the threshold of its length, calibrated on
+held-out samples. A token that base patterns cover only in part is scored as a whole, and if that does not
+pass, so are its parts that nothing covers: no rest of a secret stays beside a base span. Shorter tokens are
+left to the base patterns, since so few characters don't tell a secret from a word.
+
+Positions are code points, ends exclusive. Null and empty texts have no spans, empty tables give no rows, and
+texts and tokens of any length are read whole. Rows are judged one by one, so repeated rows and ids give
+repeated results; extra columns are ignored by ``scan`` and kept by ``redact``. Spans that start together
+stand in the order of their kinds. A corpus without words is trained on the fixed words alone.
 """
 
 from __future__ import annotations
@@ -26,8 +31,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Maximal runs of 24 or more: the runs of [0-9a-f]+ that pass.
 HEX = re.compile(r"[0-9a-f]{24,}")
+#: The shortest tokens that are scored, and where the classes of lengths begin that have thresholds of their own.
+LEAST, CLASSES = 12, (12, 14, 16, 20, 28)
 #: Whole runs of the alphabet that secrets are written in.
-LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+LONG = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(128, np.int64)
@@ -56,53 +63,99 @@ def base_spans(text: str) -> list[Span]:
 
 @dataclass
 class SecretModel:
-    """Log ratio of the two trigram models, by (last two characters, character), and the threshold."""
+    """Log ratio of the two trigram models, by (last two characters, character), and the thresholds by class of
+    length."""
 
     ratio: np.ndarray
-    threshold: float
+    thresholds: np.ndarray
+
+    def scores(self, tokens: list[str]) -> np.ndarray:
+        """The mean log ratio of each token's characters."""
+        if not tokens:
+            return np.empty(0)
+        # two marks before each token, so that nothing is remembered from the one before
+        at = _CODE[np.frombuffer(("\0\0" + "\0\0".join(tokens)).encode("ascii"), np.uint8)]
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        each = np.concatenate([[0.0], np.cumsum(self.ratio[at[:-2], at[1:-1], at[2:]])])
+        ends = np.cumsum(sizes + 2) - 2
+        return (each[ends] - each[ends - sizes]) / sizes
+
+    def passed(self, tokens: list[str]) -> np.ndarray:
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        return self.scores(tokens) >= self.thresholds[np.maximum(0, np.searchsorted(CLASSES, sizes, side="right") - 1)]
+
+    def spans(self, texts: list[str], taken: list[list[Span]]) -> list[list[Span]]:
+        """The spans that the models add to those already ``taken``."""
+        tokens, places = [], []  # (text, start, end, whether it is a part of a token)
+        for k, (text, spans) in enumerate(zip(texts, taken, strict=True)):
+            for m in LONG.finditer(text):
+                start, end = m.span()
+                rest = uncovered(start, end, spans) if spans else [(start, end)]
+                if not rest:
+                    continue
+                tokens.append(m.group())
+                places.append((k, start, end, False))
+                if rest != [(start, end)]:
+                    for s, e in rest:
+                        if e - s >= LEAST:
+                            tokens.append(text[s:e])
+                            places.append((k, s, e, True))
+        out: list[list[Span]] = [[] for _ in texts]
+        whole_end = (-1, -1)
+        for (k, s, e, part), secret in zip(places, self.passed(tokens).tolist(), strict=True):
+            if secret and not (part and whole_end >= (k, e)):
+                out[k].append((s, e, "markov"))
+                if not part:
+                    whole_end = (k, e)
+        return out
+
+
+def uncovered(start: int, end: int, spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches of start:end that no span (by start) covers."""
+    out, at = [], start
+    for s, e, _ in spans:
+        if e > at and s < end:
+            if s > at:
+                out.append((at, s))
+            at = max(at, e)
+    return [*out, (at, end)] if at < end else out
 
-    def score(self, token: str) -> float:
-        at = _CODE[np.frombuffer(token.encode("ascii"), np.uint8)]
-        padded = np.concatenate([[0, 0], at])
-        return float(self.ratio[padded[:-2], padded[1:-1], padded[2:]].mean())
 
-    def spans(self, text: str, taken: list[Span]) -> list[Span]:
-        return [(m.start(), m.end(), "markov") for m in LONG.finditer(text) if not any(s < m.end() and m.start() < e for s, e, _ in taken) and self.score(m.group()) >= self.threshold]
+def _lengths(many: int, draw: random.Random, length: int | None) -> list[int]:
+    return [length or draw.randint(LEAST, 64) for _ in range(many)]
 
 
-def random_strings(many: int, seed: int) -> list[str]:
-    """Positive samples: uniform strings over the alphabets that keys come in."""
+def random_strings(many: int, seed: int, length: int | None = None) -> list[str]:
+    """Positive samples: uniform strings over the alphabets that keys come in, of one length or of many."""
     draw = random.Random(seed)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", ALPHABET[:26] + "234567", ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[26:62]]
-    return ["".join(draw.choices(draw.choice(alphabets), k=draw.randint(20, 64))) for _ in range(many)]
+    return ["".join(draw.choices(draw.choice(alphabets), k=n)) for n in _lengths(many, draw, length)]
 
 
-def identifiers(words: list[str], many: int, seed: int) -> list[str]:
-    """Negative samples: words joined as identifiers, paths, rules and numbers are."""
+def identifiers(words: list[str], many: int, seed: int, length: int | None = None) -> list[str]:
+    """Negative samples: words alone or joined as identifiers, paths, rules and numbers are, of ``length``
+    characters or a few more."""
     draw = random.Random(seed)
     plain = sorted({w for w in words if re.fullmatch(r"[A-Za-z]{1,24}", w)}.union(COMMON))
+    joined = {"": "", "_": "_", "-": "-", "/": "/", "+": "+", "=": "="}
     out = []
-    for _ in range(many):
-        parts = [draw.choice(plain if draw.random() < 0.7 else COMMON) for _ in range(draw.randint(2, 7))]
-        style = draw.randrange(9)
+    for n in _lengths(many, draw, length):
+        style = draw.randrange(10)
         if style == 0:
-            made = "".join(p.capitalize() for p in parts)
-        elif style in (1, 2):
-            made = "_".join(parts).lower()
-        elif style == 3:
-            made = "-".join(parts)
-        elif style == 4:
-            made = "/".join(parts)
-        elif style == 5:
-            made = "_".join(parts).upper()
-        elif style == 6:
-            made = draw.choice("-=_+/aeno0") * draw.randint(20, 60)
-        elif style == 7:
-            made = "/".join([*parts, f"{draw.randint(1990, 2030)}", f"{draw.randint(1, 12):02}"])
+            made = draw.choice("-=_+/aeno0") * n
+        elif style == 1:
+            made = "".join(draw.choices("0123456789", k=n))
+        elif style == 2:
+            made = draw.choice(["-", "/", ""]).join([f"{draw.randint(1990, 2030)}", f"{draw.randint(1, 12):02}", f"{draw.randint(1, 31):02}"])
         else:
-            made = "".join(parts)
-        while len(made) < 20:
-            made += draw.choice(["_", "-", ""]) + draw.choice(plain)
+            made = ""
+        case = draw.choice([str, str.lower, str.upper, str.capitalize, str.capitalize])
+        glue = joined[draw.choice(["", "", "_", "_", "-", "/", "+", "="])]
+        while len(made) < n:
+            part = case(draw.choice(plain if draw.random() < 0.7 else COMMON))
+            if draw.random() < 0.1:
+                part += str(draw.randint(0, draw.choice([9, 99, 2030])))
+            made += (glue if made else "") + part
         out.append(made)
     return out
 
@@ -124,11 +177,13 @@ def _log_model(samples: list[str]) -> np.ndarray:
 
 
 def train(words: list[str], samples: int = 6000, seed: int = 20, false_rate: float = 1e-3) -> SecretModel:
-    """Fit on ``samples`` strings of each label and set the threshold so that on as many others at most
-    ``false_rate`` of the identifiers pass."""
-    model = SecretModel(_log_model(random_strings(samples, seed)) - _log_model(identifiers(words, samples, seed + 1)), 0.0)
-    held = np.sort([model.score(s) for s in identifiers(words, samples, seed + 2)])
-    model.threshold = max(0.25, float(held[min(len(held) - 1, int(len(held) * (1 - false_rate)))]))
+    """Fit on ``samples`` strings of each label and set the thresholds so that of as many others of each class of
+    length at most ``false_rate`` of the identifiers pass."""
+    ratio = _log_model(random_strings(samples, seed)) - _log_model(identifiers(words, samples, seed + 1))
+    model = SecretModel(ratio, np.full(len(CLASSES), 0.25))
+    for k, length in enumerate(CLASSES):
+        held = np.sort(model.scores(identifiers(words, samples, seed + 2 + k, length)))
+        model.thresholds[k] = max(0.25, float(held[min(len(held) - 1, int(len(held) * (1 - false_rate)))]))
     return model
 
 
@@ -140,13 +195,12 @@ def corpus_words(docs: DataFrame, text: str, rows: int = 400, words: int = 20_00
     return [r["w"] for r in each.orderBy(F.xxhash64("w"), "w").limit(words).collect()]
 
 
-def all_spans(text: str | None, model: SecretModel) -> tuple[list[Span], list[Span]]:
-    """(base spans, all spans), each by start and then by kind as listed."""
-    if not text:
-        return [], []
+def all_spans(texts: list[str | None], model: SecretModel) -> list[tuple[list[Span], list[Span]]]:
+    """(base spans, all spans) of each text, by start and then by kind as listed."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
-    base = sorted(base_spans(text), key=order)
-    return base, sorted(base + model.spans(text, base), key=order)
+    plain = [x or "" for x in texts]
+    base = [sorted(base_spans(x), key=order) for x in plain]
+    return [(x, sorted(x + more, key=order) if more else x) for x, more in zip(base, model.spans(plain, base), strict=True)]
 
 
 def written(spans: list[Span]) -> str:
@@ -174,7 +228,7 @@ def scan(docs: DataFrame, model: SecretModel, doc_id: str = "doc_id", text: str
         model = sent.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            got = [all_spans(x, model) for x in batch.column(1).to_pylist()]
+            got = all_spans(batch.column(1).to_pylist(), model)
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in got], pa.int64()) for k in KINDS[:3]]
             sums = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in got], pa.string())
             return pa.RecordBatch.from_arrays([batch.column(0), *counts, sums, pa.array([written(x) for _, x in got], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
@@ -195,7 +249,7 @@ def redact(docs: DataFrame, model: SecretModel, text: str = "text", length: str
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts, columns = batch.column(at).to_pylist(), list(batch.columns)
-            spans = [all_spans(x, model)[1] for x in texts]
+            spans = [x for _, x in all_spans(texts, model)]
             if not any(spans):
                 return batch
             new = [redacted(x, s, mark) if s else x for x, s in zip(texts, spans, strict=True)]
