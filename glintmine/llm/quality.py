@@ -6,8 +6,9 @@ the order of rejections per cost, so a row that one rule rejects is not asked th
 work, never the verdict.
 
 Edge cases: null and empty texts have no words, symbols or lines, and fail. Ties between rules keep the
-order given. Repeated rows and ids are judged one by one. Empty tables give no rows. Extra columns are
-ignored.
+order given. Repeated rows, and rows with null or repeated ids, are judged one by one. Texts of any length are
+read whole, their repeated windows told apart by hash before any are compared. Empty tables give no rows. Extra
+columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -175,12 +176,12 @@ def cascade(rules: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", base: list[Rule] | None = None, extra: list[Rule] | None = None, sample_rows: int = 2000) -> DataFrame:
     """measures() with base_failed, kept and ``failed`` (the rule that rejects). Base rules come first, since
-    their verdict is a column of its own; the order within both lists is estimated, on about
-    ``sample_rows`` rows drawn by the hash of their id."""
+    their verdict is a column of its own; the order within both lists is estimated on a random sample of
+    at most ``sample_rows`` rows, whatever their ids are. The order changes the work, never the verdict."""
     base, extra = base_rules() if base is None else base, junk_rules() if extra is None else extra
-    rate = sample_rows / max(1, docs.count())
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(rate * (1 << 30)))
-    order = ordered(materialize(drawn.select(F.col(text).alias("text")), "quality-sample"), base + extra)
+    rate = min(1.0, sample_rows / max(1, docs.count()))
+    drawn = docs.select(F.col(text).alias("text")).sample(rate, 7).limit(sample_rows)
+    order = ordered(materialize(drawn, "quality-sample"), base + extra)
     base, extra = [r for r in order if r in base], [r for r in order if r in extra]
     measured = with_text(docs, doc_id, text)
     base_failed = F.coalesce(F.col("failed").isin([r.name for r in base]), F.lit(False))

@@ -84,6 +84,15 @@ def test_quality_orders_by_cost(spark):
     assert "AS n_upper" not in plan and "AS n_lines" not in plan and "Lu}" in plan  # worked out within the cascade
 
 
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "ordered", lambda sample, rules: seen.append(sample.count()) or rules)
+    rows = spark.range(6000).selectExpr("cast(null as long) as doc_id", "'same text' as text", "1 as n_words", "2 as __w")
+    assert quality.judge(rows, sample_rows=300).count() == 6000 and 200 < seen[0] <= 300
+    long = spark.createDataFrame([(1, "word " * 300_000)], "doc_id long, text string")
+    assert quality.judge(long).select("n_words", "n_repeat_words", "kept").first()[:] == (300_000, 300_000, False)
+
+
 def test_secrets(docs, empty):
     model = secret_scan.train(secret_scan.corpus_words(docs, "text"))
     for r in secret_scan.scan(docs, model).collect():
