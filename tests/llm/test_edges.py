@@ -302,6 +302,13 @@ def test_urls(spark):
     assert found[3]["host"] == "a.example.org" and found[3]["rule"] == "example.org/es/" and found[3]["verdict"] == "block"
     assert found[4]["rule"] == "example.org/en/1" and found[5]["verdict"] == "allow" and found[6]["rule"] is None and found[7]["verdict"] == "block"
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), URL_RULES).count() == 0
+    # columns with the names of results and of the work, ties, repeated rows and a very long url
+    more = [*urls, (9, "http://x.org/" + "q" * 100_000), (None, "http://x.org/?a=1#b"), (10, "http://y.net/q")]
+    wide = spark.createDataFrame([(*r, "t", "h", True, 1.0) for r in more], "page_id long, url string, text string, host string, allows boolean, score double")
+    judged = url_filter.judge(wide, URL_RULES)
+    assert judged.columns == ["page_id", "host", "path", "rule", "verdict", "score"]
+    verdicts = {r["page_id"]: (r["rule"], r["verdict"]) for r in judged.collect()}
+    assert verdicts[9] == verdicts[None] == ("org/", "allow") and verdicts[8] == verdicts[10] and judged.count() == len(more)
 
 
 def test_url_model_backs_off(spark):

@@ -108,6 +108,24 @@ def test_urls(spark):
             assert r["verdict"] == ("allow" if best.allow else "block")
 
 
+def test_urls_held_out(spark):
+    """The models alone on URLs that rules decide and that they were not fitted on."""
+    from pyspark.sql import functions as F
+
+    from glintmine.llm import url_filter as u
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    host, path = u.host_and_path(F.col("url"))
+    rows = pages.select(host.alias("host"), path.alias("path"), u.reading(F.col("url")).alias("text"), F.pmod(F.xxhash64("url"), F.lit(5)).alias("fold"))
+    rows = rows.withColumn("allows", u.decided(q.URL_RULES, F.col("host"), F.col("path"))[1]).where("allows is not null").cache()
+    model = u.as_array(u.gram_table(rows.where("fold > 1").select("text", "allows")))
+    threshold = u.calibrated(u.scored(rows.where("fold = 1"), model).select("allows", "score"))
+    held = u.scored(rows.where("fold = 0"), model).select("allows", (F.col("score") >= threshold).alias("found")).toPandas()
+    shares = {k: (x.found == k).mean() for k, x in held.groupby("allows")}
+    print("held-out URLs", len(held), shares)
+    assert len(held) > 100 and min(shares.values()) > 0.9
+
+
 def test_contamination(spark, docs):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     found = rows(q.op7_decontamination(spark, SF), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
