@@ -6,8 +6,10 @@ slots by joining on their rank within their length, which is found in salted gro
 that a third of all pieces share is dealt over many tasks.
 
 Edge cases: null text is an empty one, of one token (the closing id). Repeated rows are packed as often as
-they occur. Null ids are kept. An empty table gives no rows. Extra columns are ignored. Only documents of
-more than ``capacity`` tokens are cut; the remainder is their first piece.
+they occur. Null ids are kept. An empty table gives no rows. Extra columns are ignored, whatever they are called.
+Only documents of more than ``capacity`` tokens are cut, whatever their length; the remainder is their first
+piece. Pieces of one length are ranked by id, piece and content, so which of two equal rows takes which slot is
+open, and doesn't matter.
 """
 
 from __future__ import annotations
@@ -37,17 +39,16 @@ ODD = r"[\s\x0b]{2}|[\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200d}\
 class Encoder:
     """Token ids of whole texts as little-endian uint32 bytes. Each different space-delimited stretch is encoded
     once; what it gave is kept in a cache of bounded size. ``tokenizers`` sets what the ids are: it reads the
-    file and encodes texts with special tokens. For stretches its byte-pair vocabulary runs in ``tiktoken``, which is
-    quicker for short strings, if the two agree on the first ``trial`` stretches; else in ``tokenizers`` too."""
+    file and encodes texts with special tokens, and all stretches for which ``quick_encoder`` doesn't vouch."""
 
-    def __init__(self, path: str, most: int = 300_000, trial: int = 2000):
+    def __init__(self, path: str, most: int = 300_000):
         parallelism_off()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.first, self.rest, self.older = most, {}, {}, {}
-        self.quick, self.trial = quick_encoder(self.tokenizer, path), trial
+        self.quick, self.sure = quick_encoder(self.tokenizer, path)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,12 +56,15 @@ class Encoder:
     def stretches(self, texts: list[str]) -> list[bytes]:
         if self.quick is None:
             return self.whole(texts)
-        out = [array("I", ids).tobytes() for ids in map(self.quick, texts)]
-        if self.trial > 0 and texts:
-            self.trial -= len(texts)
-            if (sure := self.whole(texts)) != out:
-                self.quick = None
-                return sure
+        out, sure, quick = [b""] * len(texts), self.sure.fullmatch, self.quick
+        others = []
+        for k, text in enumerate(texts):
+            if sure(text):
+                out[k] = array("I", quick(text)).tobytes()
+            else:
+                others.append(k)
+        for k, ids in zip(others, self.whole([texts[k] for k in others]), strict=True):
+            out[k] = ids
         return out
 
     def known(self, found: dict[str, bytes], texts: list[str], lead: str) -> list[bytes]:
@@ -107,24 +111,51 @@ class Encoder:
         return list(map(self.first.__getitem__, texts))
 
 
+#: Characters that a quick encoder is asked about: Latin, Greek, Cyrillic, and typographic signs.
+ASKED = ["\t", "\n", "\r", *map(chr, range(0x21, 0x500)), *map(chr, range(0x2010, 0x2028)), *map(chr, range(0x2030, 0x205F)), *map(chr, range(0x20A0, 0x20C0))]
+
+
 def quick_encoder(tokenizer, path: str):
-    """The byte-pair vocabulary of a byte-level tokenizer file as a function of short strings, or None if the
-    file is of another kind: ids must follow the order of merges, as ``tiktoken`` takes them to."""
+    """(the byte-pair vocabulary of a byte-level tokenizer file as a ``tiktoken`` function of short strings, a pattern
+    of the strings for which it gives the ids of ``tokenizers``), or nothing if the file is of another kind.
+
+    Why the ids are equal: ``tokenizers`` merges the pair of the earliest rule, ``tiktoken`` the pair that makes the
+    token of the least id. Here ids follow the order of rules, and each rule makes another token. What stands
+    within a pair's bounds when it is merged has been merged as the pair's text alone would be, so the pair is
+    the one that the text alone ends with. Tokens that ``tokenizers`` doesn't make of their own text are made
+    nowhere, and are left out; of all others the last pair is that of their only rule: both merge the same.
+    The two cut strings into pieces by the same pattern, but have tables of letters and digits of their own,
+    so only characters are sure that both cut alike after a letter, a digit, a sign and a space."""
     import tiktoken
 
     with open(path, encoding="utf-8") as file:
         told = json.load(file)
-    plain = told.get("pre_tokenizer") or {}
-    if told["model"].get("type") != "BPE" or plain.get("type") != "ByteLevel" or plain.get("add_prefix_space") or told.get("normalizer"):
-        return None
+    plain, model = told.get("pre_tokenizer") or {}, told["model"]
+    shaped = model.get("type") == "BPE" and plain.get("type") == "ByteLevel" and not plain.get("add_prefix_space") and plain.get("use_regex", True)
+    if not shaped or told.get("normalizer") or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"):
+        return None, None
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    ids = [model["vocab"].get(x, -1) for x in merged]
+    if ids != sorted(set(ids)) or -1 in ids:
+        return None, None
     # the printable stand-ins of a byte-level vocabulary: bytes that print stand for themselves
     printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printed]
     byte_of = {chr(b): b for b in printed} | {chr(256 + k): b for k, b in enumerate(others)}
     special = {t["content"] for t in told.get("added_tokens", [])}
-    ranks = {bytes(byte_of[c] for c in token): k for token, k in told["model"]["vocab"].items() if token not in special}
+    made = tokenizer.model.tokenize
+    ranks = {bytes(byte_of[c] for c in token): k for token, k in model["vocab"].items() if token not in special and (len(token) == 1 or [t.id for t in made(token)] == [k])}
+    if any(bytes([b]) not in ranks for b in range(256)):
+        return None, None
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("stretches", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    quick = tiktoken.Encoding("stretches", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    # a vocabulary of the probes: a probe that isn't cut is one token
+    probes = {c: [x + c for x in "a1. "] for c in ASKED}
+    known = {x.encode(): 256 + k for k, x in enumerate(x for some in probes.values() for x in some)}
+    cuts = tiktoken.Encoding("cuts", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)} | known, special_tokens={}).encode_ordinary
+    pieces = tokenizer.pre_tokenizer.pre_tokenize_str
+    alike = [c for c, some in probes.items() if all((len(cuts(x)) == 1) == (len(pieces(x)) == 1) for x in some)]
+    return quick, re.compile("[ " + re.escape("".join(alike)) + "]*")
 
 
 _encoders: dict[str, Encoder] = {}

@@ -141,6 +141,17 @@ def test_encoder_matches_tokenizer():
     assert encode(texts) == encode.whole(texts)
 
 
+def test_encoder_is_sure():
+    # every character that it is sure of, in stretches at random, and characters that it leaves to the tokenizer
+    encode = packing.Encoder(tokenizer_path())
+    draw = random.Random(5)
+    alike = [c for c in packing.ASKED if encode.sure.fullmatch(c)]
+    assert len(alike) > 1200 and not encode.sure.fullmatch("日本") and encode.sure.fullmatch(" don't\n")
+    stretches = [draw.choice(["", " "]) + "".join(draw.choices(draw.choice([alike, "aeiourstn1'.-", "abcdefghij"]), k=draw.randint(1, 14))) for _ in range(40_000)]
+    stretches += ["日本語", "x日", "٣٤", " 𝒳y"]
+    assert encode.stretches(stretches) == encode.whole(stretches)
+
+
 def test_language(docs, empty):
     model = lang_id.LanguageModel(["de", "en"], [1.0, 2.0], {"und": [1.0, -1.0], "and": [-1.0, 1.0]}, {3: {"^th": [-0.5, 0.5]}})
     scorer = lang_id.Scorer(model)
