@@ -5,22 +5,26 @@ of one length are searched together: a block of two words gives a shift from a t
 positions where no pattern can end; a block with shift 0 leads to a bucket of patterns that end in it, and
 direct comparison confirms each occurrence.
 
-Edge cases: null and empty texts have no words. Items with a null id or without words are left out. Items
-that repeat an id are one item; repeated document rows are judged one by one. An empty benchmark finds
-nothing. Extra columns are ignored.
+Edge cases: null and empty texts have no words; items without words have no windows. The windows of an item
+with a null id hit words like any other, but the item can't be named, so it is not among the items found. Items
+that repeat an id are one item; repeated document rows are judged one by one. Texts of any length are read
+whole. An empty benchmark finds nothing, and an empty table gives no rows. Extra columns are ignored by
+``find_contamination`` and kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, small_batches
+from .common import small_batches
 
 #: Words: runs of digits, a-z and all beyond ASCII, after A-Z are lower-cased.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -74,16 +78,15 @@ class WuManber:
 
 
 class Search:
-    """Automata for all pattern lengths of a block of items."""
+    """Automata for all pattern lengths of a block of items; items without a name have patterns, but no number."""
 
-    def __init__(self, items: list[tuple[str, str]], width: int):
+    def __init__(self, items: list[tuple[str | None, str]], width: int):
         by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-        self.names: list[str] = []
         known: dict[str, int] = {}
         for name, text in items:
-            at = known.setdefault(name, len(known))
+            numbers = () if name is None else (known.setdefault(name, len(known)),)
             for w in windows(words_of(text), width):
-                by_length.setdefault(len(w), {}).setdefault(w, set()).add(at)
+                by_length.setdefault(len(w), {}).setdefault(w, set()).update(numbers)
         self.names = list(known)
         self.machines = [WuManber(m, found) for m, found in sorted(by_length.items())]
 
@@ -97,30 +100,31 @@ class Search:
         return {self.names[i] for i in found}
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, most_chars: int) -> list[list[tuple[str, str]]]:
-    """Items in blocks of at most ``most_chars`` characters (a longer item is a block of its own), which
-    bounds what is broadcast at once."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null")
-    out: list[list[tuple[str, str]]] = [[]]
+def blocks(benchmark: DataFrame, item_id: str, text: str, most_chars: int) -> Iterator[list[tuple[str | None, str]]]:
+    """Items in blocks of at most ``most_chars`` characters (a longer item is a block of its own), one at a time:
+    that bounds what the driver holds and what is broadcast at once."""
+    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null")
+    block: list[tuple[str | None, str]] = []
     size = 0
     for r in rows.toLocalIterator():
-        if out[-1] and size + len(r["t"]) > most_chars:
-            out.append([])
-            size = 0
-        out[-1].append((r["i"], r["t"]))
+        if block and size + len(r["t"]) > most_chars:
+            yield block
+            block, size = [], 0
+        block.append((r["i"], r["t"]))
         size += len(r["t"])
-    return out
+    yield block
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, width: int, most_chars: int, finish) -> DataFrame:
-    """Runs the blocks over all rows. Of one block, a row's words are found once; more blocks go over the
-    row's words one after another in the same task, each from its own broadcast."""
+def _searched(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: str, width: int, most_chars: int, at: int, finish: Callable, held_bytes: int = 64 << 20):
+    """A mapInArrow function that runs the blocks over all rows and lets ``finish`` (batch, [(words, hit words,
+    names)]) make each batch. With one block, batches go one by one; with more, a task holds rows of about
+    ``held_bytes`` of text while the blocks pass over them, so a block's automata are built once for as many."""
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     sent = [context.broadcast(b) for b in blocks(benchmark, item_id, item_text, most_chars)]
 
-    def search(texts: list[str | None]) -> list[tuple[int, int, set[str]]]:
-        words = [words_of(t) for t in texts]
+    def search(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = [words_of(t) for batch in batches for t in batch.column(at).to_pylist()]
         hits = [np.zeros(len(w), bool) for w in words]
         items: list[set[str]] = [set() for _ in words]
         for one in sent:
@@ -128,9 +132,23 @@ def _searched(docs: DataFrame, benchmark: DataFrame, item_id: str, item_text: st
             for w, h, x in zip(words, hits, items, strict=True):
                 if w:
                     x |= machine(w, h)
-        return [(len(w), int(h.sum()), x) for w, h, x in zip(words, hits, items, strict=True)]
+        found = iter([(len(w), int(h.sum()), x) for w, h, x in zip(words, hits, items, strict=True)])
+        for batch in batches:
+            yield finish(batch, list(islice(found, batch.num_rows)))
 
-    return finish(search)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.column(at).nbytes
+            if len(sent) == 1 or size > held_bytes:
+                yield from search(held)
+                held, size = [], 0
+        if held:
+            yield from search(held)
+
+    return run
 
 
 _machines: dict = {}
@@ -156,32 +174,24 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
     chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = chosen.schema["doc_id"].dataType.simpleString()
 
-    def finish(search):
-        def work():
-            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                got = search(batch.column(1).to_pylist())
-                names = [sorted(x) for _, _, x in got]
-                columns = [
-                    batch.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([h for _, h, _ in got], pa.int64()), pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([digest(x) for _, _, x in got], pa.string()), pa.array([h > 0 for _, h, _ in got], pa.bool_()), pa.array(names, pa.list_(pa.string())),
-                ]
-                return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"])
-
-            return step
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"]
 
-        return chosen.mapInArrow(per_row(work), f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
+    def finish(batch: pa.RecordBatch, got: list) -> pa.RecordBatch:
+        found = [sorted(x) for _, _, x in got]
+        columns = [
+            batch.column(0), pa.array([n for n, _, _ in got], pa.int64()), pa.array([h for _, h, _ in got], pa.int64()), pa.array([len(x) for x in found], pa.int64()),
+            pa.array([digest(x) for _, _, x in got], pa.string()), pa.array([h > 0 for _, h, _ in got], pa.bool_()), pa.array(found, pa.list_(pa.string())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _searched(docs, benchmark, item_id, item_text, width, most_chars, finish)
+    run = _searched(chosen, benchmark, item_id, item_text, width, most_chars, 1, finish)
+    return chosen.mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, most_chars: int = 20_000_000) -> DataFrame:
     """The rows, unchanged, in which no pattern occurs."""
-    at = docs.columns.index(text)
-
-    def finish(search):
-        def work():
-            return lambda batch: batch.filter(pa.array([h == 0 for _, h, _ in search(batch.column(at).to_pylist())], pa.bool_()))
 
-        return docs.mapInArrow(per_row(work), docs.schema)
+    def finish(batch: pa.RecordBatch, got: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([h == 0 for _, h, _ in got], pa.bool_()))
 
-    return _searched(docs, benchmark, item_id, item_text, width, most_chars, finish)
+    return docs.mapInArrow(_searched(docs, benchmark, item_id, item_text, width, most_chars, docs.columns.index(text), finish), docs.schema)

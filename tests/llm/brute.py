@@ -58,10 +58,9 @@ BENCH = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 def contamination(docs, items):
     by = defaultdict(set)
     for name, text in items:
-        if name is not None:
-            w = BENCH.findall(ascii_lower(text))
-            for i in range(max(1, len(w) - 9)) if w else ():
-                by[tuple(w[i : i + 10])].add(str(name))
+        w = BENCH.findall(ascii_lower(text))
+        for i in range(max(1, len(w) - 9)) if w else ():
+            by[tuple(w[i : i + 10])].update(() if name is None else (str(name),))
     sizes = {len(x) for x in by}
     out = []
     for doc, text in docs:
