@@ -13,7 +13,8 @@ copies of one sequence have is no anchor.
 Edge cases: null and empty texts have no words and keep nothing (the hash of an empty string). Documents of
 fewer than ``width`` words keep all. Rows that repeat an id are judged one by one, against smaller ids only;
 rows with a null id are never smaller than any, nor have smaller ones. Extra columns are ignored. Word
-sequences are compared by 64-bit hashes of runs of word hashes.
+sequences are compared by 64-bit hashes of runs of word hashes. Texts of any length are read whole. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -97,13 +98,19 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     smaller id; ``copy``: the whole word sequence is that of a smaller id."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    known = rows.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     half = width // 2
 
     # 1. Word sequences that more rows than one have, and the smallest id of each.
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    identified = rows.mapInArrow(_with_sequence(width), f"doc_id {kind}, text string, seq long, long boolean")
-    longs = identified.where("long").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "seq").where("doc_id is not null")
-    copies = longs.groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("seq", "first")
+    id_schema = pa.schema([("seq", pa.int64()), ("doc_id", pa.int64())])
+
+    def sequences(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(seq, i) for i, _, seq in _rows(batch, width)]
+        return batches_of(id_schema, *zip(*found, strict=True)) if found else pa.RecordBatch.from_pylist([], id_schema)
+
+    firsts = known.mapInArrow(per_row(lambda: sequences), "seq long, doc_id long").groupBy("seq").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    copies = firsts.where("last > first").select("seq", "first")
 
     # 2. Blocks, by hash, with the least and greatest sequence that has them.
     block_schema = pa.schema([("h", pa.int64()), ("seq", pa.int64())])
@@ -112,14 +119,14 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     def blocks(batches):
         for batch in batches:
             hs, ids = [], []
-            for _, words, seq in _rows(batch):
+            for _, words, seq in _rows(batch, width):
                 h = window_hashes(word_hashes(words), half)[::half]
                 hs.append(signed(h))
                 ids.append(np.full(len(h), seq))
             if hs:
                 yield from _chunks(block_schema, [np.concatenate(hs), np.concatenate(ids)])
 
-    index = materialize(longs.mapInArrow(blocks, "h long, seq long").groupBy("h").agg(*extremes), "blocks")
+    index = materialize(known.mapInArrow(blocks, "h long, seq long").groupBy("h").agg(*extremes), "blocks")
 
     # 3. Probes: every rolling window of a block's size, but for a text's own blocks and what surely no
     #    index entry matches. An anchor is a block that two different sequences have.
@@ -129,7 +136,7 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
         maybe = in_index.value.maybe
         for batch in batches:
             hs, ids = [], []
-            for _, words, seq in _rows(batch):
+            for _, words, seq in _rows(batch, width):
                 h = window_hashes(word_hashes(words), half)
                 own = np.zeros(len(h), bool)
                 own[::half] = True
@@ -139,64 +146,73 @@ def removed(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
             if hs:
                 yield from _chunks(block_schema, [np.concatenate(hs), np.concatenate(ids)])
 
-    probed = longs.mapInArrow(probes, "h long, seq long").groupBy("h").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
+    probed = known.mapInArrow(probes, "h long, seq long").groupBy("h").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
     anchors = index.join(probed, "h", "left").where("least != most or low != least or high != least").select("h")
     anchored = bit_filter(anchors, "h", marks=3)
 
     # 4. Extension: the windows over one of a text's own blocks that is an anchor (any window that another
     #    text shares is one), in every text that has such; the smallest id of those that two ids have.
-    holder_schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64())])
     place_schema = pa.schema([("w", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int64()), ("at", pa.int32())])
 
-    def windows(batch):
+    def windows(batches):
         maybe = anchored.value.maybe
-        for i, words, seq in _rows(batch):
-            base = word_hashes(words)
-            own = np.arange(0, len(base) - half + 1, half)
-            found = own[maybe(window_hashes(base, half)[own])]
-            if len(found):
-                change = np.zeros(len(base) + 1, np.int64)
-                np.add.at(change, np.maximum(0, found + half - width), 1)
-                np.add.at(change, found + 1, -1)
-                at = np.flatnonzero(np.cumsum(change)[: len(base) - width + 1] > 0)
-                yield i, seq, at, window_hashes(base, width)[at]
-
-    def holders(batches):
         for batch in batches:
-            parts = [(signed(np.unique(w)), i) for i, _, _, w in windows(batch)]
+            parts = []
+            for i, words, seq in _rows(batch, width):
+                base = word_hashes(words)
+                own = np.arange(0, len(base) - half + 1, half)
+                found = own[maybe(window_hashes(base, half)[own])]
+                if len(found):
+                    change = np.zeros(len(base) + 1, np.int64)
+                    np.add.at(change, np.maximum(0, found + half - width), 1)
+                    np.add.at(change, found + 1, -1)
+                    at = np.flatnonzero(np.cumsum(change)[: len(base) - width + 1] > 0)
+                    parts.append((signed(window_hashes(base, width)[at]), np.full(len(at), i), np.full(len(at), seq), at.astype(np.int32)))
             if parts:
-                yield from _chunks(holder_schema, [np.concatenate([w for w, _ in parts]), np.concatenate([np.full(len(w), i) for w, i in parts])])
+                yield from _chunks(place_schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
 
-    held = longs.mapInArrow(holders, "w long, doc_id long").groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    places = materialize(known.mapInArrow(windows, "w long, doc_id long, seq long, at int"), "places")
+    held = places.groupBy("w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     shared = materialize(held.where("last > first").select("w", "first"), "shared")
     in_shared = bit_filter(shared, "w", marks=3)
 
-    def places(batches):
-        maybe = in_shared.value.maybe
-        for batch in batches:
-            parts = []
-            for i, seq, at, w in windows(batch):
-                some = maybe(w)
-                if some.any():
-                    parts.append((signed(w[some]), np.full(some.sum(), i), np.full(some.sum(), seq), at[some].astype(np.int32)))
-            if parts:
-                yield from _chunks(place_schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
+    def maybe_shared():
+        return lambda batch: batch.filter(pa.array(in_shared.value.maybe(batch.column(0).to_numpy().view(np.uint64))))
 
-    placed = longs.mapInArrow(places, "w long, doc_id long, seq long, at int")
-    packed = pack_starts(placed.join(shared, "w").where("doc_id > first").select("seq", "doc_id", "at"))
+    placed = places.mapInArrow(per_row(maybe_shared), places.schema).join(shared, "w").where("doc_id > first")
+    packed = pack_starts(placed.select("seq", "doc_id", "at"))
 
-    # 5. Back to the texts, by word sequence: a text that a third of all rows copy makes a skewed partition
-    #    of this join, which Spark splits.
+    # 5. Back to the texts, by word sequence; texts that surely lose nothing take no part in the join. A text that
+    #    a third of all rows copy makes a skewed partition of this join, which Spark splits.
     #    Larger ids of a sequence are covered altogether, so only its smallest id's windows matter.
     both = packed.withColumnRenamed("doc_id", "of").join(copies, "seq", "full_outer")
     facts = both.groupBy("seq").agg(F.max("first").alias("first"), F.max(F.when(F.coalesce(F.col("of") == F.col("first"), F.lit(True)), F.col("starts"))).alias("starts"))
-    joined = identified.drop("long").join(facts, "seq", "left")
-    return joined.select("doc_id", "text", F.when(F.col("doc_id").isNotNull(), F.col("starts")).alias("starts"), F.coalesce(F.col("doc_id").cast("long") > F.col("first"), F.lit(False)).alias("copy"))
+    facts = materialize(facts, "repeats")
+    losing = bit_filter(facts, "seq", marks=3)
+
+    def split(wanted: bool):
+        def work():
+            def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+                seqs = np.fromiter((_identity(ascii_words(t)) for t in batch.column(1).to_pylist()), np.int64, batch.num_rows)
+                known = np.asarray(batch.column(0).is_valid())
+                maybe = losing.value.maybe(seqs.view(np.uint64)) & known
+                return pa.RecordBatch.from_arrays([*batch.columns, pa.array(seqs)], names=["doc_id", "text", "seq"]).filter(pa.array(maybe == wanted))
 
+            return step
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], int]]:
-    for i, text, seq in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        yield i, ascii_words(text), seq
+        return rows.mapInArrow(per_row(work), f"doc_id {kind}, text string, seq long")
+
+    joined = split(True).join(facts, "seq", "left").select("doc_id", "text", "starts", F.coalesce(F.col("doc_id").cast("long") > F.col("first"), F.lit(False)).alias("copy"))
+    clean = split(False).select("doc_id", "text", F.lit(None).cast("binary").alias("starts"), F.lit(False).alias("copy"))
+    return joined.unionByName(clean)
+
+
+def _rows(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, list[bytes], int]]:
+    """(id, words, hash of the word sequence) of the texts that are long enough to hold a window."""
+    for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        words = ascii_words(text)
+        if len(words) >= width:
+            yield i, words, _identity(words)
 
 
 def pack_starts(starts: DataFrame) -> DataFrame:
@@ -207,16 +223,3 @@ def pack_starts(starts: DataFrame) -> DataFrame:
         return lambda batch: pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.asarray(x, np.int32).tobytes() for x in batch.column(2).to_pylist()], pa.binary())], names=["seq", "doc_id", "starts"])
 
     return packed.mapInArrow(per_row(work), "seq long, doc_id long, starts binary")
-
-
-def _with_sequence(width: int):
-    """Adds the hash of the word sequence, and whether it is long enough to hold a window."""
-
-    def work():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = [ascii_words(t) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(_identity, words), pa.int64()), pa.array([len(w) >= width for w in words], pa.bool_())], names=["doc_id", "text", "seq", "long"])
-
-        return step
-
-    return per_row(work)
