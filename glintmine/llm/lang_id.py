@@ -5,8 +5,11 @@ n-grams, longest first, and is scored at the first length at which any of its n-
 
 Edge cases: null text or a text without a letter gives ``und`` with score 0. A text whose words and
 n-grams are all unknown gets the most frequent learned language with score 1 / (number of languages).
-Without any usable training row every text is ``und``. Rows are judged one by one, so repeated rows and
-repeated ids give repeated results; extra columns are ignored. Ties go to the first language by name.
+Without any usable training row, as in an empty table, every text is ``und``; rows with a null text or language
+are not learned from. Texts of any length are read whole. Rows are judged one by one, so repeated rows and
+repeated ids give repeated results; extra columns are ignored by ``identify``, whatever they are called, and kept
+by ``keep_identified``. Ties go to the first language by name, and among features of equal frequency the first
+by name is kept.
 """
 
 from __future__ import annotations

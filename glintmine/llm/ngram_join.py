@@ -18,8 +18,10 @@ that reach each other by links are one component.
    least are queries against each other block.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing. A row with a null id
-names no component; its own is that of an equal set's rows, or null. Texts of fewer words than a shingle have one shingle, the sequence.
-Rows that repeat an id belong to one document if any: they share a component. Extra columns are ignored.
+names no component; its own is that of an equal set's rows, or null. Texts of fewer words than a shingle have one
+shingle, the sequence. Texts of any length are read whole. Rows that repeat an id belong to one document if any:
+they share a component. Similarities that tie with the threshold link. An empty table gives no rows. Extra columns
+are ignored, whatever they are called, and kept by ``keep_first``.
 """
 
 from __future__ import annotations

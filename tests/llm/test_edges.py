@@ -171,6 +171,21 @@ def test_language_fit_does_not_depend_on_tasks(spark):
     assert lang_id.fit(df, "text", "lang", F.lit(True), F.col("doc_id"), most_languages=1).languages == ["x"]
 
 
+def test_language_fit_on_odd_rows(spark, empty):
+    fit = lambda df: lang_id.fit(df, "text", "lang", F.lit(True), F.col("doc_id"))
+    none = fit(empty)
+    assert none.languages == [] and lang_id.Scorer(none)("text") == ("und", 0.0)
+    # nulls, texts without letters, repeated rows, one very long text, and two languages that tie in all they have
+    rows = [(1, "aa bb aa bb", "x"), (1, "aa bb aa bb", "x"), (2, "aa bb aa bb", "y"), (2, "aa bb aa bb", "y"), (None, "cc cc", "x"), (3, None, "x"), (4, "dd dd", None), (5, "1 2 3", "y"), (6, "", "y"), (7, "ee " * 200_000, "z"), (8, "ee ee", "z")]
+    df = spark.createDataFrame([(*r, 1.0, "l", "t") for r in rows], "doc_id long, text string, lang string, score double, l string, t string")
+    model = fit(df)
+    scorer = lang_id.Scorer(model)
+    assert model.languages == ["x", "y", "z"] and "dd" not in model.words and scorer("ee")[0] == "z" and scorer("cc")[0] == "x"
+    assert lang_id.Scorer(fit(df.where("text like 'aa%'")))("aa bb") == ("x", 0.5)
+    kept = lang_id.keep_identified(df, "text", model)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "2", "4", "7", "8", "None"]
+
+
 def test_toxicity_restores():
     counts = toxicity.trigram_counts(["the idiot said that the stupid book was good and this idiot is stupid"] * 50)
     restore = toxicity.Restorer(toxicity.log_model(counts))
@@ -333,6 +348,45 @@ def test_url_model_backs_off(spark):
     assert found["a"] == 1 and found["ab"] == 0 and found["aab"] == pytest.approx(1 / 3) and found["bbz"] == pytest.approx(-2 / 3)
 
 
+STAGE_ROWS = [
+    (0, None), (1, ""), (2, "12 34 -"), (3, f"{PASSAGE} one"), (4, f"{PASSAGE} one"), (4, f"{PASSAGE} one"), (None, PASSAGE + " two"), (5, "the quick text has token = \"abcdef0123456789abcdef0123456789\" in it"),
+    (6, "this text quotes a benchmark line of ten words that should never be seen again in training"), (7, LONG), (8, "short text"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, ids that repeat, and columns with the names of results."""
+    return spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), 1, "p", "r") for i, t in STAGE_ROWS], "doc_id long, text string, lang string, source string, n_chars int, length int, piece string, root string").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def sf(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("sf")
+    items = [(1, "a benchmark line of ten words that should never be seen again"), (None, None), (2, "")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stage(spark, odd, sf, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, odd, sf)
+    rows = sorted(out.collect(), key=str)
+    assert stage(spark, odd.limit(0), sf).count() == 0
+    if name == "pack":
+        assert {r["doc_id"] for r in rows} == {i for i, _ in STAGE_ROWS} and sum(r["offset"] == 0 for r in rows) == len({r["sequence_id"] for r in rows})
+        return
+    assert out.columns == odd.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+    gone = {"language": [STAGE_ROWS[k] for k in (0, 1, 2)], "near_duplicates": [], "decontaminate": [STAGE_ROWS[8]], "secrets": [STAGE_ROWS[7]]}[name]
+    if name == "near_duplicates":  # copies of id 3; a row without an id is never a copy
+        gone = [STAGE_ROWS[4], STAGE_ROWS[5]]
+    left = [d for d in STAGE_ROWS if d not in gone] + ([(5, "the quick text has [SECRET]\" in it")] if name == "secrets" else [])
+    assert kept == sorted(left, key=str)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
