@@ -288,7 +288,7 @@ def _neighbours(texts: DataFrame) -> DataFrame:
     shift = ranges.groupBy("host", "part").agg(F.count("*").alias("n"))
     shift = shift.select("host", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"), F.sum("n").over(whole).alias("classes")).where("classes > 1")
     number = F.row_number().over(Window.partitionBy("host", "part").orderBy("path", "page")) - 1
-    ranked = ranges.withColumn("number", number).join(shift, ["host", "part"]).withColumn("rank", F.col("number") + F.col("shift"))
+    ranked = ranges.withColumn("number", number).join(shift.hint("merge"), ["host", "part"]).withColumn("rank", F.col("number") + F.col("shift"))
     block = F.floor(F.col("rank") / BLOCK)
     edges = F.array_distinct(F.transform(F.array(F.lit(-WITNESSES), F.lit(0), F.lit(WITNESSES)), lambda d: F.floor((F.col("rank") + d) / BLOCK)))
     dealt = ranked.select("host", "kind", "rank", "classes", "body", block.alias("own"), F.explode(edges).alias("block"))
@@ -303,7 +303,7 @@ def _neighbours(texts: DataFrame) -> DataFrame:
 def _templates(texts: DataFrame) -> DataFrame:
     """(page, gone): the places of template lines, of the texts that have any. A class that a third of all texts
     belong to is a skewed partition of the join, which Spark splits; it streams through, one text at a time."""
-    pairs = texts.where(F.size("at") > 0).join(_neighbours(texts), ["host", "kind"]).select("page", "at", "hashes", "inside", "rank", "near")
+    pairs = texts.where(F.size("at") > 0).join(_neighbours(texts).hint("merge"), ["host", "kind"]).select("page", "at", "hashes", "inside", "rank", "near")
 
     def compare():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
