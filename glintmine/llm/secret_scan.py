@@ -188,9 +188,12 @@ def train(words: list[str], samples: int = 6000, seed: int = 20, false_rate: flo
 
 
 def corpus_words(docs: DataFrame, text: str, rows: int = 400, words: int = 20_000) -> list[str]:
-    """Words for the negative samples, from a bounded draw: the ``rows`` texts first by hash, and of their
-    words the ``words`` first by hash."""
-    some = docs.select(F.col(text).alias("t")).where("t is not null").select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(rows)
+    """Words for the negative samples, from a bounded draw: of about 4 x ``rows`` texts that are drawn by their
+    hash, copies of a text being one, the ``rows`` first, and of their words the ``words`` first by hash."""
+    texts = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where("t is not null")
+    share = min(1.0, 4 * rows / max(1, docs.count()))
+    drawn = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.min("t").alias("t"))
+    some = drawn.orderBy("h").limit(rows)
     each = some.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{2,24})(?![A-Za-z0-9+/_=-])"), 1))).alias("w")).distinct()
     return [r["w"] for r in each.orderBy(F.xxhash64("w"), "w").limit(words).collect()]
 
