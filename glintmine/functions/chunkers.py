@@ -27,12 +27,20 @@ class Chunk:
 class Import:
     source: str
     specifiers: list[tuple[str, str | None, str]] = field(default_factory=list)  # (name, alias, kind)
+    text: str = ""  # the statement that it stands in, which begins at
+    statement: int = -1
+
+
+def lines_of(source: str) -> list[str]:
+    """Lines end at a line feed, with a carriage return before it or without."""
+    lines = source.split("\n")
+    return [x.removesuffix("\r") for x in (lines if lines[-1] else lines[:-1])]
 
 
 def fallback(source: str) -> list[Chunk]:
     """Windows of whole lines up to 1000 bytes, each starting four lines before the last one's end, but always
     further on than the last one's start."""
-    lines, out, start = source.splitlines(), [], 0
+    lines, out, start = lines_of(source), [], 0
     while start < len(lines):
         end, size = start, 0
         while end < len(lines) and size < WINDOW_BYTES:
@@ -52,7 +60,7 @@ HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*))?$")
 
 def markdown(source: str) -> list[Chunk]:
     """One chunk for each heading's section, outside fences; what stands before the first is ``other``."""
-    lines, heads, fenced = source.splitlines(), [], False
+    lines, heads, fenced = lines_of(source), [], False
     for k, line in enumerate(lines):
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
@@ -188,6 +196,7 @@ def script(source: str) -> tuple[list[Chunk], list[Import]]:
         text = source[a:b]
         if re.match(r"import\b(?!\s*\()", text):
             if parsed := script_import(text):
+                parsed.text, parsed.statement = text.strip(), a
                 imports.append(parsed)
             continue
         if m := TYPED.match(text):
@@ -252,7 +261,10 @@ def rust(source: str, crate: str | None = None) -> tuple[list[Chunk], list[Impor
         m = ITEM.match(code[a:b])
         word = m[1] if m else None
         if word == "use":
-            imports += rust_use(text[text.index("use") + 3 :].strip().rstrip(";"), crate)
+            found = rust_use(text[text.index("use") + 3 :].strip().rstrip(";"), crate)
+            for i in found:
+                i.text, i.statement = text.strip(), a
+            imports += found or [Import("", [], text.strip(), a)]  # of another crate: no path, but text
             continue
         if word == "mod" and text.rstrip().endswith(";"):
             imports.append(Import(f"self::{m[2]}", [(m[2], None, "mod_decl")]))
@@ -287,9 +299,10 @@ def _split_list(text: str) -> list[str]:
 
 
 def rust_use(path: str, crate: str | None) -> list[Import]:
-    """Imports of a use tree that starts inside the crate; a bare name refers to nothing in it."""
+    """Imports of a use tree that starts inside the crate; a bare name refers to nothing in it. In a list, names are of
+    the list's path, as is a star, wherever it stands; renamed ones and ``self`` refer to nothing more."""
     path = path.strip()
-    head = re.split(r"::", path, maxsplit=1)[0].strip()
+    head = path.partition("::")[0].strip()
     if "::" not in path or head not in ("crate", "super", "self", *([crate] if crate else [])):
         return []
     if "{" not in path:
@@ -299,13 +312,16 @@ def rust_use(path: str, crate: str | None) -> list[Import]:
     base, inner = path[: path.index("{")].rstrip().removesuffix("::"), path[path.index("{") + 1 : path.rindex("}")]
     out, own = [], Import(base)
     for part in _split_list(inner):
-        name, _, alias = part.partition(" as ")
-        if "::" in part or "{" in part:
+        if "{" in part:
+            out += rust_use(f"{base}::{part}", crate)
+        elif part.endswith("*"):
+            own.specifiers.append(("*", None, "namespace"))
+        elif " as " in part or part == "self":
+            continue
+        elif "::" in part:
             out += rust_use(f"{base}::{part}", crate)
-        elif part == "*":
-            out.append(Import(base, [("*", None, "namespace")]))
         else:
-            own.specifiers.append((name.strip(), alias.strip() or None, "named"))
+            own.specifiers.append((part, None, "named"))
     return ([own] if own.specifiers else []) + out
 
 

@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInput
+
 # Fixed values that results depend on.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "css", "html", "rs", "md")
 VENDOR_DIRS = ("node_modules", "vendor", "third_party", "bower_components", "dist", "build", "target", ".git")
@@ -43,5 +45,5 @@ def parse_target(target: str) -> tuple[str, str | None]:
 
 def check_path(path: str) -> str:
     if ".." in path or path.startswith("/"):
-        raise ValueError(f"not a path inside the project: {path}")
+        raise InvalidInput(f"'{path}' must be a relative path and must not contain '..'", "use a relative path inside the project root")
     return path

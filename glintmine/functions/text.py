@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,36 +21,30 @@ TYPE_HINTS = {
 }
 
 
+#: Where an identifier is cut: at - and _, before a capital after a small letter, and before the last capital of
+#: an acronym that a small letter follows. One rule for columns and for queries.
+CUTS = r"[-_]|(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})"
+
+#: Endings that stems lose: (ending, bytes that a word has to exceed, words that keep it, ending that isn't one).
+ENDINGS = (("ing", 5, KEEP_ING, None), ("s", 3, KEEP_S, "ss"))
+
+
 def split_identifier(name: Column) -> Column:
-    """Parts of an identifier: cut at - and _, before a capital after a small letter, and before the last
-    capital of an acronym that a small letter follows."""
-    marked = F.regexp_replace(name, r"(?<=\p{Ll})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", "_")
-    return F.filter(F.split(marked, "[-_]"), lambda x: x != "")
+    """Parts of an identifier."""
+    return F.filter(F.split(name, CUTS), lambda x: x != "")
 
 
 def split_name(name: str) -> list[str]:
-    out, part = [], ""
-    for k, c in enumerate(name):
-        if c in "-_":
-            out, part = out + [part], ""
-            continue
-        before, after = name[k - 1] if k else "", name[k + 1] if k + 1 < len(name) else ""
-        if part and c.isupper() and (before.islower() or before.isupper() and after.islower()):
-            out, part = out + [part], ""
-        part += c
-    return [x for x in [*out, part] if x]
+    return [x for x in regex.split(CUTS, name, flags=regex.V1) if x]
 
 
 def stem(word: str) -> str | None:
     """The word without -ing or plural -s; None where there is nothing to take off. Lengths are in bytes."""
-    size = len(word.encode())
-    if word.endswith("ing") and size > 5 and word not in KEEP_ING:
-        cut = word[:-3]
-    elif word.endswith("s") and not word.endswith("ss") and size > 3 and word not in KEEP_S:
-        cut = word[:-1]
-    else:
-        return None
-    return cut if len(cut.encode()) >= 2 else None
+    for ending, longer, kept, no in ENDINGS:
+        if word.endswith(ending) and len(word.encode()) > longer and word not in kept and not (no and word.endswith(no)):
+            rest = word.removesuffix(ending)
+            return rest if len(rest.encode()) >= 2 else None
+    return None
 
 
 def keywords(query: str) -> list[str]:
@@ -68,10 +63,26 @@ def type_hints(query: str) -> list[str]:
     return list(dict.fromkeys(TYPE_HINTS[w] for w in query.lower().split() if w in TYPE_HINTS))
 
 
+def _stable() -> str:
+    """A character class of what NFKC leaves alone wherever it stands: composed letters of the commoner scripts,
+    and signs, without marks that combine. Built from the rule, so that only other text leaves the JVM."""
+    keeps = [k for k in (*range(0x80, 0x250), *range(0x370, 0x530), *range(0x2010, 0x2027), *range(0x3041, 0x3097), *range(0x30A1, 0x30FB), *range(0x4E00, 0xA000)) if unicodedata.normalize("NFKC", chr(k)) == chr(k) and not unicodedata.combining(chr(k))]
+    spans: list[list[int]] = []
+    for k in keeps:
+        if spans and spans[-1][1] == k - 1:
+            spans[-1][1] = k
+        else:
+            spans.append([k, k])
+    return "\\x00-\\x7F" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans)
+
+
+STABLE = _stable()
+
+
 def normalized(text: Column) -> Column:
-    """NFKC with A-Z lower-cased, for full-text matching. Only text beyond ASCII leaves the JVM."""
+    """NFKC with A-Z lower-cased, for full-text matching. Only text that NFKC may change leaves the JVM."""
     lower = lambda x: F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return lower(F.when(text.rlike(r"[^\x00-\x7F]"), _nfkc(text)).otherwise(text))
+    return lower(F.when(text.rlike(f"[^{STABLE}]"), _nfkc(text)).otherwise(text))
 
 
 @F.pandas_udf(T.StringType())

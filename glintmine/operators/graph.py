@@ -8,20 +8,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def closure(edges: DataFrame, seeds: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
     """(file_path, depth) of what ``seeds`` (file_path) reach in at most ``depth`` steps, seeds at 0, each file
     at its least depth. Level by level: a level is joined with the edges once, made distinct and stripped
-    of what is known, so cycles end and no level is computed twice."""
+    of what is known, so cycles end; it is written once, so no level is computed twice."""
     a, b = ("target_file", "source_file") if reverse else ("source_file", "target_file")
     steps = edges.select(F.col(a).alias("file_path"), F.col(b).alias("next"))
     level = seeds.select("file_path").distinct().withColumn("depth", F.lit(0))
     known = level
     for d in range(1, depth + 1):
         reached = steps.join(level, "file_path", "left_semi").select(F.col("next").alias("file_path")).distinct()
-        level = cut_lineage(reached.join(known, "file_path", "left_anti").withColumn("depth", F.lit(d)))
+        found = reached.join(known, "file_path", "left_anti").withColumn("depth", F.lit(d))
+        if d == depth:
+            return known.unionByName(found)
+        level = materialize(found, "closure")
         if level.isEmpty():
             break
         known = known.unionByName(level)
@@ -52,8 +55,10 @@ def edges_among(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 def import_counts(edges: DataFrame, files: DataFrame) -> DataFrame:
     """(file_path, import_count): files that refer to each of ``files``, 0 if none does."""
-    counts = edges.groupBy(F.col("target_file").alias("file_path")).agg(F.countDistinct("source_file").alias("n"))
-    return files.select("file_path").distinct().join(counts, "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).cast("long").alias("import_count"))
+    wanted = files.select("file_path").distinct()
+    into = edges.select(F.col("target_file").alias("file_path"), "source_file").join(wanted, "file_path", "left_semi").distinct()
+    counts = into.groupBy("file_path").agg(F.count("*").alias("n"))
+    return wanted.join(counts, "file_path", "left").select("file_path", F.coalesce("n", F.lit(0)).cast("long").alias("import_count"))
 
 
 def embedding_priority(chunks: DataFrame, edges: DataFrame, embedded: DataFrame) -> DataFrame:
@@ -76,7 +81,14 @@ def bidirectional(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def impact_report(edges: DataFrame, target: str, depth: int) -> DataFrame:
-    """(file_path, depth, n_references): direct references are listed only for depth 1."""
-    direct = direct_references(edges, target).groupBy(F.col("source_file").alias("file_path")).agg(F.count("*").alias("n"))
-    found = dependents(edges, target, depth).join(direct, "file_path", "left")
-    return found.select("file_path", "depth", F.when(F.col("depth") == 1, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_references"))
+    """(file_path, depth, references): what depends on ``target``, with its direct references (ref_kind, via_symbol),
+    sorted, for depth 1 and none further out."""
+    each = F.struct("ref_kind", "via_symbol")
+    direct = direct_references(edges, target).groupBy(F.col("source_file").alias("file_path")).agg(F.array_sort(F.collect_list(each)).alias("found"))
+    near = F.when(F.col("depth") == 1, F.col("found"))
+    none = F.array().cast("array<struct<ref_kind:string,via_symbol:string>>")
+    return dependents(edges, target, depth).join(direct, "file_path", "left").select("file_path", "depth", F.coalesce(near, none).alias("references"))
+
+
+def reference_count(edges: DataFrame) -> DataFrame:
+    return edges.agg(F.count("*").alias("references"))

@@ -24,6 +24,17 @@ def index_stats(chunks: DataFrame, vecs: DataFrame) -> DataFrame:
     return one.withColumn("coverage_percent", percent.cast("long"))
 
 
+def coverage(chunks: DataFrame, vecs: DataFrame) -> DataFrame:
+    """One row: the share of embeddable chunks that have a vector; 0 if there are none."""
+    one = index_stats(chunks, vecs)
+    return one.select(F.when(F.col("embeddable_chunks") == 0, 0.0).otherwise(F.col("embedded_chunks") / F.col("embeddable_chunks")).alias("coverage"))
+
+
+def status(chunks: DataFrame, vecs: DataFrame, edges: DataFrame) -> DataFrame:
+    """index_stats() with the number of references."""
+    return index_stats(chunks, vecs).withColumn("references", edges.agg(F.count("*")).scalar())
+
+
 @dataclass(frozen=True)
 class Pattern:
     id: str
@@ -65,6 +76,38 @@ def recall_report(wanted: DataFrame) -> DataFrame:
     return wanted.groupBy("entry").agg((F.count_if("found") / n).alias("recall"), F.when(weight == 0, 1.0).otherwise(hit / weight).alias("cap_fit"), (weight == 0).alias("degraded"))
 
 
+def judged_entries(wanted: DataFrame, output: DataFrame, reachable: DataFrame) -> DataFrame:
+    """Rows (entry, path, weight) of files that an answer must have, with ``found`` and ``reachable``: whether the
+    entry's ``output`` and what it could reach, both (entry, path), have the file."""
+    has = lambda df, name: df.select("entry", "path").distinct().withColumn(name, F.lit(True))
+    both = wanted.join(has(output, "found"), ["entry", "path"], "left").join(has(reachable, "reachable"), ["entry", "path"], "left")
+    return both.withColumns({c: F.coalesce(F.col(c), F.lit(False)) for c in ("found", "reachable")})
+
+
+def corpus_report(entries: DataFrame) -> DataFrame:
+    """One row over recall_report() rows: means, and whether any is degraded; without entries 1.0, 1.0 and degraded."""
+    return entries.agg(F.coalesce(F.avg("recall"), F.lit(1.0)).alias("recall"), F.coalesce(F.avg("cap_fit"), F.lit(1.0)).alias("cap_fit"), F.coalesce(F.bool_or("degraded"), F.lit(True)).alias("degraded"))
+
+
+def gate(report: DataFrame, floor: float) -> DataFrame:
+    """Adds ``passes``: whether the mean recall reaches the floor, inclusive."""
+    return report.withColumn("passes", F.col("recall") >= floor)
+
+
+def near_seeds(wanted: DataFrame, seeds: DataFrame, forward: DataFrame) -> DataFrame:
+    """Rows (entry, path) with ``near``: whether the file is a seed or one step forward of it; null for entries of
+    which no closure is known."""
+    near = seeds.select("entry", "path").unionByName(forward.select("entry", "path")).distinct().withColumn("near", F.lit(True))
+    proven = forward.select("entry").distinct().withColumn("proven", F.lit(True))
+    both = wanted.join(near, ["entry", "path"], "left").join(proven, "entry", "left")
+    return both.withColumn("near", F.when(F.col("proven"), F.coalesce("near", F.lit(False)))).drop("proven")
+
+
+def throughput(chunks: int, milliseconds: int) -> int:
+    """Chunks a second, truncated; 0 where no time has passed."""
+    return chunks * 1000 // milliseconds if milliseconds > 0 else 0
+
+
 def canary(wanted: DataFrame) -> DataFrame:
     """An entry fails if all of its wanted files are trivially near (``near``, null for unknown closures)."""
     return wanted.groupBy("entry").agg((F.bool_and("near") | F.bool_or(F.col("near").isNull())).alias("fails"))

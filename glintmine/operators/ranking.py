@@ -1,9 +1,12 @@
-"""Hybrid ranking: union of both arms, bonuses, per-file cap and pagination."""
+"""Hybrid ranking: union of both arms, confidence and bonuses, per-file cap, pagination and model reranking."""
 
 from __future__ import annotations
 
 from functools import reduce
+from operator import add, or_
+from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +16,23 @@ from ..functions.paths import is_test_path
 OVERLAP_BONUS, TYPE_BONUS, IMPORT_BONUS, TEST_PENALTY, PER_FILE = 0.05, 0.03, 0.03, 0.05, 2
 
 
-def confidence(coverage: float) -> float:
+def confidence(coverage):
+    """What a semantic score counts for at a coverage, a number or a column."""
+    if isinstance(coverage, Column):
+        return F.least(F.lit(1.0), 2.0 * F.sqrt(coverage) + 0.4)
     return min(1.0, 2.0 * coverage**0.5 + 0.4)
 
 
-def hit_ratio(keywords: list[str], idfs: list[float], with_content: bool = True) -> Column:
-    """The idf share of keywords in name, path or content; a plain share where idfs say nothing."""
-    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "file_path", *(["content"] if with_content else []))]
+def hit_ratio(keywords: list[str], idfs: list, with_content: bool = True) -> Column:
+    """The idf share (numbers or columns) of keywords in name, path or content; a plain share where idfs say
+    nothing."""
     if not keywords:
         return F.lit(0.0)
-    if sum(idfs) < 1e-6:
-        idfs = [1.0] * len(keywords)
-    hits = [F.when(reduce(lambda x, y: x | y, [F.contains(c, F.lit(k)) for c in fields]), F.lit(float(w))).otherwise(0.0) for k, w in zip(keywords, idfs, strict=True)]
-    return reduce(lambda x, y: x + y, hits) / F.lit(float(sum(idfs)))
+    fields = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in ("name", "file_path", *(["content"] if with_content else []))]
+    weights = [x if isinstance(x, Column) else F.lit(float(x)) for x in idfs]
+    found = [reduce(or_, [F.contains(c, F.lit(k)) for c in fields]) for k in keywords]
+    share = lambda ws: reduce(add, [F.when(x, w).otherwise(0.0) for x, w in zip(found, ws, strict=True)]) / reduce(add, ws)
+    return F.when(reduce(add, weights) < 1e-6, share([F.lit(1.0)] * len(keywords))).otherwise(share(weights))
 
 
 def union(semantic: DataFrame, text: DataFrame) -> DataFrame:
@@ -41,16 +48,47 @@ def quartile(counted: DataFrame) -> Column:
     return counts.select(F.when(n > 0, F.try_element_at("c", at.cast("int"))).otherwise(0).alias("q")).scalar()
 
 
-def rerank(hits: DataFrame, imports: DataFrame, keywords: list[str], idfs: list[float], hints: list[str]) -> DataFrame:
-    """Adds ``score`` to hits (file_path, name, content, chunk_type, base, source, ...)."""
+def rerank(hits: DataFrame, imports: DataFrame, keywords: list[str], idfs: list, hints: list[str], coverage=1.0) -> DataFrame:
+    """Adds ``score`` to hits (file_path, name, content, chunk_type, base, source, ...). ``imports``: (file_path,
+    import_count) of files; ``coverage``: of vectors, a number or a scalar column."""
     counted = hits.select("file_path").distinct().join(imports, "file_path", "left").select("file_path", F.coalesce("import_count", F.lit(0)).alias("import_count"))
     least = quartile(counted)
     joined = hits.join(counted, "file_path")
-    overlap = F.when(F.col("source") == "semantic", OVERLAP_BONUS * hit_ratio(keywords, idfs)).otherwise(0.0)
+    semantic = F.col("source") == "semantic"
+    base = F.when(semantic, F.col("base") * confidence(coverage)).otherwise(F.col("base"))
+    overlap = F.when(semantic, OVERLAP_BONUS * hit_ratio(keywords, idfs)).otherwise(0.0)
     typed = F.when(F.col("chunk_type").isin(hints), TYPE_BONUS).otherwise(0.0) if hints else F.lit(0.0)
     imported = F.when((least > 0) & (F.col("import_count") >= least), IMPORT_BONUS).otherwise(0.0)
     tested = F.lit(0.0) if "test_case" in hints else F.when(is_test_path(F.col("file_path")), TEST_PENALTY).otherwise(0.0)
-    return joined.withColumn("score", F.col("base") + overlap + typed + imported - tested)
+    return joined.withColumn("score", base + overlap + typed + imported - tested)
+
+
+class Reranker(Protocol):
+    """A cross-encoder: the scores of pairs (query, content). It is sent to the executors, so what it loads belongs
+    into the call, kept in the worker."""
+
+    def score(self, query: str, contents: list[str]) -> list[float]: ...
+
+
+def cross_encoder(scored: DataFrame, query: str, reranker: Reranker) -> DataFrame:
+    """``scored`` with the model's scores. Where the model fails, or gives no number for each pair, the scores stay:
+    of a batch as large as a search's hits, that is of all of them."""
+    ranked = scored.coalesce(1)  # a search's candidates: at most some hundred rows, one batch for the model
+
+    def judged(batches):
+        frames = [b for b in batches if len(b)]
+        if not frames:
+            return
+        frame = pd.concat(frames, ignore_index=True)
+        try:
+            found = list(reranker.score(query, frame["content"].fillna("").tolist()))
+            if len(found) == len(frame):
+                frame["score"] = [float(x) for x in found]
+        except Exception:
+            pass  # a model's failure never fails a search: the heuristic order is kept
+        yield frame
+
+    return ranked.mapInPandas(judged, scored.schema)
 
 
 def ranked(scored: DataFrame) -> list[Column]:
@@ -63,3 +101,10 @@ def cap_per_file(scored: DataFrame, most: int = PER_FILE) -> DataFrame:
 
 def page(scored: DataFrame, offset: int, limit: int) -> DataFrame:
     return cap_per_file(scored).orderBy(*ranked(scored)).offset(offset).limit(limit)
+
+
+def first_files(found: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """(file_path, position): the first ``most`` different files in the order of their best rows."""
+    first = Window.partitionBy("file_path").orderBy(*order)
+    top = found.withColumn("in_file", F.row_number().over(first)).where("in_file = 1").orderBy(*order).limit(most)
+    return top.select("file_path", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).alias("position"))

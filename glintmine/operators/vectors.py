@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.paths import has_prefix
+
 
 def l2(a: Column, b: Column) -> Column:
     """Euclidean distance, summed in double."""
@@ -30,18 +34,13 @@ def maxsim(hits: DataFrame) -> DataFrame:
 
 
 def knn_multi(vecs: DataFrame, vectors: list[list[float]], k: int) -> DataFrame:
-    """MaxSim over several query vectors, k sub-vectors each. The stated queries are one array in each row,
-    so vectors are read once, and a partial top-k for each query goes before the shuffle."""
-    distances = F.array(*[F.struct(F.lit(q).alias("q"), l2(F.col("embedding"), constant(v)).alias("distance")) for q, v in enumerate(vectors)])
-    each = vecs.select("chunk_id", "sub_idx", F.explode(distances).alias("d")).select("chunk_id", "sub_idx", "d.q", "d.distance")
-    rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "chunk_id", "sub_idx"))
-    return maxsim(each.withColumn("rank", rank).where(F.col("rank") <= k))
+    """MaxSim over several stated query vectors, k sub-vectors each: one bounded top-k for each."""
+    each = [knn(vecs, v, k) for v in vectors]
+    return maxsim(reduce(DataFrame.unionByName, each))
 
 
 def search(vecs: DataFrame, chunks: DataFrame, vectors: list[list[float]], limit: int, types: list[str] | None = None, prefixes: list[str] | None = None) -> DataFrame:
     """Nearest chunks. Filters come after the neighbours are found, so the result may be short."""
-    from ..functions.paths import has_prefix
-
     near = maxsim(knn(vecs, vectors[0], 10 * limit)) if len(vectors) == 1 else knn_multi(vecs, vectors, 10 * limit)
     found = near.join(chunks, "chunk_id")
     if types:
@@ -49,10 +48,22 @@ def search(vecs: DataFrame, chunks: DataFrame, vectors: list[list[float]], limit
     return found.where(has_prefix(F.col("file_path"), prefixes or [])).orderBy("distance", "chunk_id").limit(limit)
 
 
-def from_target(vecs: DataFrame, chunks: DataFrame, sources: list[int], limit: int, most: int = 20) -> DataFrame:
-    """Chunks like the stored vectors (the first ``most``) of the ``sources``, without those."""
-    stored = vecs.where(F.col("chunk_id").isin(sources)).orderBy("chunk_id", "sub_idx").limit(most).select("embedding").collect()
-    if not stored:
+def target_chunks(chunks: DataFrame, file: str, symbol: str | None = None) -> DataFrame:
+    """(chunk_id) of a file's chunks, or of those with the symbol's name, but for inner functions."""
+    wanted = (F.col("file_path") == file) & (F.col("chunk_type") != "inner_fn")
+    return chunks.where(wanted & (F.col("name") == symbol) if symbol is not None else wanted).select("chunk_id")
+
+
+def stored_vectors(vecs: DataFrame, sources: list[int], most: int = 20) -> list[list[float]]:
+    """The first ``most`` stored vectors of some chunks, by chunk and place."""
+    rows = vecs.where(F.col("chunk_id").isin(sources)).orderBy("chunk_id", "sub_idx").limit(most).select("embedding").collect()
+    return [list(r[0]) for r in rows]
+
+
+def from_target(vecs: DataFrame, chunks: DataFrame, sources: list[int], limit: int, prefixes: list[str] | None = None) -> DataFrame:
+    """Chunks like the stored vectors of the ``sources``, without those."""
+    vectors = stored_vectors(vecs, sources)
+    if not vectors:
         return search(vecs, chunks, [[0.0]], 0)
-    found = search(vecs, chunks, [r[0] for r in stored], limit + len(sources))
+    found = search(vecs, chunks, vectors, limit + len(sources), prefixes=prefixes)
     return found.where(~F.col("chunk_id").isin(sources)).orderBy("distance", "chunk_id").limit(limit)

@@ -14,7 +14,7 @@ WITH base AS (
   FROM {documents})
 SELECT doc_id AS chunk_id, file_path, chunk_type, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE concat('use', upper(lang), 'Chunk', doc_id) END AS name, text AS content,
   CAST(10 * row_number() OVER (PARTITION BY file_path ORDER BY doc_id) AS INT) AS start_line,
-  CASE WHEN chunk_type = 'inner_fn' THEN doc_id - 1 END AS parent_chunk_id,
+  CAST(10 * row_number() OVER (PARTITION BY file_path ORDER BY doc_id) + 8 AS INT) AS end_line, CASE WHEN chunk_type = 'inner_fn' THEN doc_id - 1 END AS parent_chunk_id,
   CASE WHEN doc_id % 50 = 0 THEN NULL WHEN file_path LIKE 'node_modules/%' THEN 'vendor' WHEN file_path LIKE 'tests/%' OR contains(file_path, '/__tests__/') THEN 'test' ELSE 'src' END AS source_kind
 FROM base"""
 
@@ -31,6 +31,14 @@ UNION ALL SELECT concat('p:', p_partkey), concat('p:', (p_partkey * 17 + 3) % (S
 
 VECS = "SELECT CAST(floor(vec_id / 2) AS BIGINT) AS chunk_id, CAST(vec_id % 2 AS INT) AS sub_idx, embedding, label FROM {embeddings}"
 
+#: Fewer vectors than nine of a hundred embeddable chunks: scores by vectors count for less.
+SPARSE = "SELECT * FROM (" + VECS + ") x WHERE chunk_id % 8 = 3"
+
+#: References between the files of chunks.
+LINKS = "WITH c AS (" + CHUNKS + """)
+SELECT a.file_path AS source_file, b.file_path AS target_file, a.name AS symbol_name, CASE CAST(a.chunk_id % 4 AS INT) WHEN 0 THEN 'named' WHEN 1 THEN 'namespace' WHEN 2 THEN 'type_only' ELSE 'default' END AS ref_kind
+FROM c a CROSS JOIN (SELECT count(*) AS n FROM {documents}) k JOIN c b ON b.chunk_id = (a.chunk_id * 7 + 1) % k.n WHERE a.chunk_id % 5 = 0"""
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -44,4 +52,4 @@ def oracle(sql: str) -> str:
 
 
 #: Common table expressions for the oracle.
-WITH = f"WITH RECURSIVE chunks AS ({oracle(CHUNKS)}), edges AS ({oracle(EDGES)}), cyc AS ({oracle(CYCLE)}), vecs AS ({oracle(VECS)})"
+WITH = f"WITH RECURSIVE chunks AS ({oracle(CHUNKS)}), edges AS ({oracle(EDGES)}), cyc AS ({oracle(CYCLE)}), vecs AS ({oracle(VECS)}), sparse AS ({oracle(SPARSE)}), links AS ({oracle(LINKS)})"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+import weakref
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,10 +39,37 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost executor costs no
+    recomputation. The files go when the driver's Python ends (or by ``release``)."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/glintmine/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    if spark not in _written:
+        _written[spark] = []
+        atexit.register(_release_quietly, weakref.ref(spark))
+    _written[spark].append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that ``materialize`` wrote in this session."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark, []):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+
+
+def _release_quietly(ref) -> None:
+    spark = ref()
+    try:
+        if spark is not None:
+            release(spark)
+    except Exception:  # the JVM may be gone when Python ends
+        pass
 
 
 def local_session(cpus: int = 8, name: str = "glintmine", **settings: str) -> SparkSession:

@@ -5,9 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from glintmine.functions import chunkers, paths, text
-from glintmine.operators import brief, chunking, graph, measures, ranking
+from glintmine.operators import brief, graph, measures, ranking
 from glintmine.plans import queries
-from glintmine.sources import index
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,7 +38,7 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert entry.entry(spark).columns == ["chunk_id", "score"]
+    assert entry.entry(spark).columns == ["chunk_id", "score", "rank"]
 
 
 @pytest.mark.parametrize(("name", "parts"), [("useChat", ["use", "Chat"]), ("HTMLElement", ["HTML", "Element"]), ("getXMLParser", ["get", "XML", "Parser"]), ("foo-bar_baz", ["foo", "bar", "baz"]), ("_foo_", ["foo"]), ("---", []), ("HTTP", ["HTTP"])])
@@ -123,23 +122,3 @@ def test_rust():
 def test_css_and_html():
     assert [c.chunk_type for c in chunkers.css("a { b: c }\n@media x { d { e: f } }")] == ["css_rule"] * 2
     assert [c.content for c in chunkers.html("<!DOCTYPE html><p>x</p><div><p>y</p></div>")] == ["<!DOCTYPE html>", "<p>x</p>", "<div><p>y</p></div>"]
-
-
-def test_index_and_resolve(spark, tmp_path):
-    (tmp_path / "src").mkdir()
-    for name, body in {"src/lib.rs": "mod a;\nmod b;\n", "src/a.rs": "use crate::b::run;\npub fn go() {}\n", "src/b.rs": "pub fn run() {}\n", "src/w.ts": "import { f } from './u';\nexport const x = f;\n", "src/u.ts": "export function f() {}\n", "big.md": "x" * 1_000_001}.items():
-        (tmp_path / name).write_text(body)
-    files = index.scan(spark, str(tmp_path))
-    assert {r["file_path"]: r["outcome"] for r in files.collect()}["big.md"] == "skipped"
-    read = files.where("outcome = 'read'")
-    edges = chunking.resolve(chunking.import_rows(read), read)
-    assert {(r["source_file"], r["target_file"], r["ref_kind"]) for r in edges.collect()} == {("src/lib.rs", "src/a.rs", "mod_decl"), ("src/lib.rs", "src/b.rs", "mod_decl"), ("src/a.rs", "src/b.rs", "named"), ("src/w.ts", "src/u.ts", "named")}
-    store = index.Snapshots(spark, str(tmp_path / ".index"))
-    assert store.current() is None
-    store.write({"files": read.select("file_path", "file_hash")})
-    (tmp_path / "src/u.ts").write_text("export function f() { return 2 }\n")
-    (tmp_path / "src/b.rs").unlink()
-    outcome = {r["file_path"]: r["outcome"] for r in index.compare(store.read("files"), index.scan(spark, str(tmp_path)).where("outcome = 'read'")).collect()}
-    assert outcome["src/u.ts"] == "changed" and outcome["src/b.rs"] == "orphan" and outcome["src/a.rs"] == "unchanged"
-    with pytest.raises(ValueError, match="lacks"):
-        store.read("files", ["nope"])
