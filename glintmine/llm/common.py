@@ -1,11 +1,8 @@
-"""Shared plumbing: written intermediate tables, bounded bit filters, byte-exact word splitting."""
+"""Shared plumbing: bounded bit filters, byte-exact word splitting, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
 import os
-import uuid
-import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir, reachable
+from ..session import materialize, reachable  # noqa: F401 (operators take materialize from here)
 
 #: ``[^\x20\x09-\x0D]+``: the word rule that most contracts share (for Java's regular expressions).
 SPACES = r"[\x20\x09-\x0D]+"
@@ -22,45 +19,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 FILTER_BITS = 26
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
-_written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); one of our own where it is unset and the
-    master is local."""
-    return checkpoint_dir(spark).rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and a lost
-    executor costs no recomputation. The files go when the driver's Python ends (or by ``release``)."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glintmine/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if spark not in _written:
-        _written[spark] = []
-        atexit.register(_release_quietly, weakref.ref(spark))
-    _written[spark].append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables that ``materialize`` wrote in this session."""
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written.pop(spark, []):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(conf).delete(where, True)
-
-
-def _release_quietly(ref) -> None:
-    spark = ref()
-    try:
-        if spark is not None:
-            release(spark)
-    except Exception:  # the JVM may be gone when Python ends
-        pass
-
-
 def small_batches(spark: SparkSession, rows: int = 512, size: int = 32 << 20) -> None:
     """Bound what one Arrow batch of whole texts can hold in a Python worker, by rows and, since a text can be of
     any length, by bytes; let workers import this package. Plans read these settings when they run, so they stay
