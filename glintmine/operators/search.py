@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions import paths, text
+from ..session import materialize
 from . import fulltext, graph, measures, ranking, vectors
 
 # Fixed values that results depend on.
@@ -53,7 +54,7 @@ def fetch_sizes(limit: int, offset: int, reranked: bool) -> tuple[int, int]:
 
 
 def imports_of(index: Index, hits: DataFrame) -> DataFrame:
-    return graph.import_counts(index.edges, hits.select("file_path"))
+    return materialize(graph.import_counts(index.edges, hits.select("file_path")), "search-imports")
 
 
 def pipeline(index: Index, query: str, embedding: list[float] | None, limit: int, offset: int = 0, reranker: ranking.Reranker | None = None, prefixes: list[str] | None = None, capture: bool = False) -> Outcome:
@@ -65,12 +66,15 @@ def pipeline(index: Index, query: str, embedding: list[float] | None, limit: int
     semantic = chunks.select("chunk_id", F.lit(0.0).alias("base"), F.lit("semantic").alias("source")).limit(0)
     if embedding is not None:
         found = vectors.search(index.vecs, index.chunks, [embedding], near, hints, prefixes)
-        semantic = found.select("chunk_id", vectors.similarity(F.col("distance")).alias("base"), F.lit("semantic").alias("source"))
-    both, matches = semantic, semantic.limit(0)
+        semantic = materialize(found.select("chunk_id", vectors.similarity(F.col("distance")).alias("base"), F.lit("semantic").alias("source")), "search-near")
+    both = semantic
     if keywords:
         matches = fulltext.search(chunks, keywords, matched, hints, exclude=semantic, prefixes=prefixes).select("chunk_id", F.col("score").alias("base"), F.lit("fts").alias("source"))
         both = ranking.union(semantic, matches)
-    hits = both.join(index.chunks, "chunk_id")
+    # a search's candidates are a few hundred rows: written once, as ranking reads them several times
+    hits = materialize(both.join(index.chunks, "chunk_id"), "search-hits")
+    both = hits.select("chunk_id", "base", "source")
+    matches = both.where("source = 'fts'")
     counts = fulltext.figures(chunks, keywords).select(F.struct("*")).scalar()
     idfs = [fulltext.idf(counts["n"], counts[f"df{i}"]) for i in range(len(keywords))]
     coverage = measures.coverage(index.chunks, index.vecs).scalar()
@@ -118,7 +122,7 @@ def similar(index: Index, file: str, symbol: str | None = None, query: str | Non
     keywords = text.keywords(query) if query is not None else []
     if keywords:
         found = found.join(fulltext.search(index.chunks, keywords, fetch, include=found, prefixes=prefixes).select("chunk_id"), "chunk_id", "left_semi")
-    hits = found.withColumns({"base": vectors.similarity(F.col("distance")), "source": F.lit("semantic")})
+    hits = materialize(found.withColumns({"base": vectors.similarity(F.col("distance")), "source": F.lit("semantic")}), "search-hits")
     scored = ranking.rerank(hits, imports_of(index, hits), [], [], [])
     return Outcome(numbered(scored.orderBy(*ranking.ranked(scored)).limit(limit), ranking.ranked(scored)))
 

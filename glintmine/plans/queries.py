@@ -21,12 +21,14 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name == "indexed":
+            return staging.chunk_index(self.spark, self.dir)
         if name in ("chunks", "edges", "cycle", "vecs", "sparse", "links"):
             return staging.view(self.spark, self.dir, getattr(staging, name.upper()))
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def index(self, vecs: str = "sparse") -> search.Index:
-        return search.Index(self.chunks, getattr(self, vecs), self.links)
+        return search.Index(self.indexed, getattr(self, vecs), self.links)
 
 
 def query(sql: str | None):
@@ -154,7 +156,7 @@ def from_target_similar(t):
 
 @query("".join([FTS, " SELECT keyword, df, round(ln(greatest(n, 1) / greatest(df, 1)), 6) AS idf FROM (SELECT count(*) AS n FROM chunks), (", " UNION ALL ".join(f"SELECT '{w}' AS keyword, count(*) FILTER (WHERE {MATCH.format(w)}) AS df FROM fts" for w in WORDS), ")"]))
 def keyword_df_idf(t):
-    return fulltext.document_frequency(t.chunks, WORDS).select("keyword", "df", rounded("idf", "idf"))
+    return fulltext.document_frequency(t.indexed, WORDS).select("keyword", "df", rounded("idf", "idf"))
 
 
 @query(" SELECT chunk_id, round(" + " + ".join(f"CASE WHEN {HIT.format(w)} THEN {x} ELSE 0 END" for w, x in zip(WORDS, (1.5, 0.5), strict=True)) + ", 6) / 2.0 AS ratio FROM chunks")
@@ -174,22 +176,22 @@ def _bm25_sql() -> str:
 
 @query(_bm25_sql() + " SELECT chunk_id, round(bm25, 6) AS bm25 FROM bm")
 def fts_match_and(t):
-    return fulltext.bm25(t.chunks, WORDS).select("chunk_id", rounded("bm25", "bm25"))
+    return fulltext.bm25(t.indexed, WORDS).select("chunk_id", rounded("bm25", "bm25"))
 
 
 @query(_bm25_sql() + " SELECT chunk_id, round(bm25 / (1 + bm25), 6) AS score FROM bm ORDER BY bm25 / (1 + bm25) DESC, chunk_id LIMIT 20")
 def fts_bm25_topk(t):
-    return fulltext.search(t.chunks, WORDS, 20).select("chunk_id", rounded("score", "score"))
+    return fulltext.search(t.indexed, WORDS, 20).select("chunk_id", rounded("score", "score"))
 
 
 @query(_bm25_sql() + " SELECT chunk_id FROM bm WHERE chunk_id NOT IN (SELECT chunk_id FROM vecs) ORDER BY bm25 / (1 + bm25) DESC, chunk_id LIMIT 20")
 def fts_exclude_ids(t):
-    return fulltext.search(t.chunks, WORDS, 20, exclude=t.vecs.select("chunk_id").distinct()).select("chunk_id")
+    return fulltext.search(t.indexed, WORDS, 20, exclude=t.vecs.select("chunk_id").distinct()).select("chunk_id")
 
 
 @query(_bm25_sql() + " SELECT chunk_id FROM bm WHERE chunk_id IN (SELECT chunk_id FROM vecs) AND chunk_type IN ('hook', 'other') ORDER BY bm25 / (1 + bm25) DESC, chunk_id LIMIT 20")
 def fts_include_ids(t):
-    return fulltext.search(t.chunks, WORDS, 20, types=["hook", "other"], include=t.vecs.select("chunk_id").distinct()).select("chunk_id")
+    return fulltext.search(t.indexed, WORDS, 20, types=["hook", "other"], include=t.vecs.select("chunk_id").distinct()).select("chunk_id")
 
 
 #: The whole composition, as search does it: limit 10 after 5, vectors of few chunks, references between files.
@@ -303,7 +305,7 @@ page AS (SELECT * FROM scored ORDER BY score DESC, chunk_id LIMIT 20)"""
 
 def _scaled(t) -> search.Index:
     vecs = t.vecs.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double") * 0.05))
-    return search.Index(t.chunks, vecs, t.links)
+    return search.Index(t.indexed, vecs, t.links)
 
 
 def _target(t) -> str:

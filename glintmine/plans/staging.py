@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import fulltext
+from ..session import materialize
+
 CHUNKS = """
 WITH base AS (
   SELECT doc_id, text, lang, source,
@@ -47,6 +52,18 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql.replace("{string}", "STRING"), **used)
 
 
+_indexes: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a folder as an index keeps them, with the forms that full-text search matches: written once a
+    session, as an index run writes them, and read by every search."""
+    kept = _indexes.setdefault(spark, {})
+    if sf_dir not in kept:
+        kept[sf_dir] = materialize(fulltext.indexed(view(spark, sf_dir, CHUNKS)), "chunk-index")
+    return kept[sf_dir]
+
+
 def oracle(sql: str) -> str:
     return sql.format(**{t: t for t in TABLES}, string="VARCHAR")
 
