@@ -185,6 +185,6 @@ def run(store: Store, scanned: DataFrame, patterns: list[Pattern], aliases: list
     n = outcomes(decided)
     if done["files"] or n["orphan"]:
         gone = parsed.select("file_path").unionByName(decided.where("outcome = 'orphan'").select("file_path"))
-        store.replace(gone, {"chunks": chunks, "context": context, "edges": edges}, last_indexed_at=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"))
+        store.replace(gone, {"chunks": chunks, "context": context, "edges": edges}, last_indexed_at=datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S"), covered=True)
     skipped = n["unchanged"] + n["skipped"] + n["process"] - done["files"]
     return {"files_processed": done["files"], "chunks_created": done["chunks"], "files_skipped": skipped, "files_errored": n["errored"]}

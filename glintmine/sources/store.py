@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,31 +61,35 @@ class Store:
     def _bucket(self, column: str):
         return F.pmod(F.xxhash64(column), F.lit(self.buckets)).cast("int")
 
-    def replace(self, gone: DataFrame, rows: dict[str, DataFrame], last_indexed_at: str | None = None) -> None:
-        """Drops the rows of files in ``gone`` (file_path) from every table, and adds ``rows``."""
+    def replace(self, gone: DataFrame, rows: dict[str, DataFrame], last_indexed_at: str | None = None, covered: bool = False) -> None:
+        """Drops the rows of files in ``gone`` (file_path) from every table, and adds ``rows``. ``covered``: all rows are
+        of files in ``gone``, so that they needn't be read to know the buckets."""
         now = self.manifest() or {"number": 0, "last_indexed_at": None, "layout": {}}
         keys = gone.select("file_path").distinct()
         touched = keys.select(self._bucket("file_path").alias("b"))
-        for table, df in rows.items():
+        for table, df in rows.items() if not covered else ():
             touched = touched.unionByName(df.select(self._bucket(TABLES[table][0]).alias("b")))
         wanted = {str(r["b"]) for r in touched.distinct().collect()}  # at most as many as there are buckets
         run, layout = f"run={uuid.uuid4().hex}", {t: dict(x) for t, x in now["layout"].items()}
-        for table, (key, schema) in TABLES.items():
+
+        def write(table: str) -> list[str] | None:
+            key, schema = TABLES[table]
             old = [f"{self.root}/{r}/{table}/bucket={b}" for b, r in sorted(layout.get(table, {}).items()) if b in wanted]
-            parts = []
-            if old:
-                parts.append(self.spark.read.parquet(*old).join(keys.withColumnRenamed("file_path", key), key, "left_anti"))
-            if table in rows:
-                parts.append(rows[table])
+            parts = [self.spark.read.parquet(*old).join(keys.withColumnRenamed("file_path", key), key, "left_anti")] if old else []
+            parts += [rows[table]] if table in rows else []
             if not parts:
-                continue
+                return None
             columns = self.spark.createDataFrame([], schema).columns
-            whole = parts[0].select(columns) if len(parts) == 1 else parts[0].select(columns).unionByName(parts[1].select(columns))
+            whole = reduce(DataFrame.unionByName, [p.select(columns) for p in parts])
             dealt = whole.withColumn("bucket", self._bucket(key)).repartition("bucket")
             dealt.write.partitionBy("bucket").parquet(f"{self.root}/{run}/{table}")
-            written = self._buckets_of(f"{self.root}/{run}/{table}")
-            kept = {b: r for b, r in layout.get(table, {}).items() if b not in wanted}
-            layout[table] = kept | {b: run for b in written}
+            return self._buckets_of(f"{self.root}/{run}/{table}")
+
+        with ThreadPoolExecutor(len(TABLES)) as pool:  # tables are written side by side
+            written = dict(zip(TABLES, pool.map(write, TABLES), strict=True))
+        for table, buckets in written.items():
+            if buckets is not None:
+                layout[table] = {b: r for b, r in layout.get(table, {}).items() if b not in wanted} | {b: run for b in buckets}
         row = (now["number"] + 1, VERSION, last_indexed_at or now["last_indexed_at"], json.dumps(layout))
         self.spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").json(f"{self.root}/manifest")
 
