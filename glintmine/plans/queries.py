@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codecs, paths, text
-from ..operators import brief, chunking, embedding, fulltext, graph, measures, ranking, search, vectors
+from ..operators import brief, chunking, embedding, fulltext, graph, lookups, measures, ranking, search, vectors
 from ..sources import index
 from . import staging
 
@@ -114,10 +114,44 @@ def parent_self_join(t):
     return t.chunks.select("chunk_id", "parent_chunk_id").join(parents, "parent_chunk_id", "left").select("chunk_id", "parent_name")
 
 
-@query(" SELECT file_path, chunk_id, chunk_type, start_line FROM chunks WHERE file_path IN (SELECT file_path FROM chunks WHERE chunk_id % 97 = 0)")
+_SOME = "(SELECT file_path FROM chunks WHERE chunk_id % 97 = 0)"
+_CONTEXT = "(SELECT file_path, string_agg(chunk_type, chr(10) ORDER BY chunk_id) AS imports_text, CASE WHEN length(file_path) % 3 = 0 THEN NULL ELSE CAST(min(chunk_id) AS BIGINT) END AS mtime_epoch FROM chunks GROUP BY 1)"
+
+
+def _some(t):
+    return t.chunks.where("chunk_id % 97 = 0").select("file_path")
+
+
+def _context(t):
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "chunk_type"))), lambda x: x["chunk_type"]), "\n")
+    return t.chunks.groupBy("file_path").agg(lines.alias("imports_text"), F.min("chunk_id").alias("least")).select("file_path", "imports_text", F.when(F.length("file_path") % 3 != 0, F.col("least")).alias("mtime_epoch"))
+
+
+@query(f" SELECT file_path, name, chunk_type, start_line, end_line FROM chunks WHERE file_path IN {_SOME}")
 def siblings(t):
-    wanted = t.chunks.where("chunk_id % 97 = 0").select("file_path").distinct()
-    return t.chunks.join(wanted, "file_path", "left_semi").select("file_path", "chunk_id", "chunk_type", "start_line")
+    return lookups.siblings(t.chunks, _some(t))
+
+
+@query(f" SELECT chunk_id, file_path, start_line FROM chunks WHERE file_path IN {_SOME}")
+def chunks_of_files(t):
+    return lookups.chunks_of_files(t.chunks, _some(t)).select("chunk_id", "file_path", "start_line")
+
+
+@query(" SELECT chunk_id, name FROM chunks WHERE chunk_id % 5 = 1 AND chunk_type IN ('hook', 'other') AND starts_with(file_path, 'src/')")
+def chunks_by_ids(t):
+    return lookups.chunks_by_ids(t.chunks, t.chunks.where("chunk_id % 5 = 1").select("chunk_id"), ["hook", "other"], ["src/"]).select("chunk_id", "name")
+
+
+@query(f" SELECT c.file_path, imports_text, coalesce(mtime_epoch, -1) AS mtime_epoch FROM {_CONTEXT} c WHERE file_path IN {_SOME}")
+def file_context_lookup(t):
+    context = _context(t)
+    both = lookups.contexts(context, _some(t)).join(lookups.times(context, _some(t)), "file_path", "left")
+    return both.select("file_path", "imports_text", F.coalesce("mtime_epoch", F.lit(-1)).cast("long").alias("mtime_epoch"))
+
+
+@query(f" SELECT DISTINCT file_path FROM chunks WHERE chunk_type = 'rust_impl' AND file_path IN {_SOME}")
+def files_with_types(t):
+    return lookups.files_with_types(t.chunks, _some(t), ["rust_impl"])
 
 
 def stored(t, *ids: int) -> list[list[float]]:
