@@ -27,8 +27,6 @@ class Chunk:
 class Import:
     source: str
     specifiers: list[tuple[str, str | None, str]] = field(default_factory=list)  # (name, alias, kind)
-    text: str = ""  # the statement that it stands in, which begins at
-    statement: int = -1
 
 
 def lines_of(source: str) -> list[str]:
@@ -189,14 +187,15 @@ def _kind(name: str | None) -> str:
     return "component" if name and name[0].isupper() else "other"
 
 
-def script(source: str) -> tuple[list[Chunk], list[Import]]:
-    """TypeScript and JavaScript: top-level statements and imports."""
+def script(source: str, texts: list[str] | None = None) -> tuple[list[Chunk], list[Import]]:
+    """TypeScript and JavaScript: top-level statements and imports; import statements are added to ``texts``."""
     code, chunks, imports = blanked(source, STRINGS), [], []
     for a, b in items(code, True):
         text = source[a:b]
         if re.match(r"import\b(?!\s*\()", text):
+            if texts is not None:
+                texts.append(text.strip())
             if parsed := script_import(text):
-                parsed.text, parsed.statement = text.strip(), a
                 imports.append(parsed)
             continue
         if m := TYPED.match(text):
@@ -254,17 +253,18 @@ def reexports(source: str) -> list[tuple[str | None, str]]:
 ITEM = re.compile(r"(?:#!?\[[^\]]*\]\s*)*(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|unsafe\s+|async\s+|const\s+(?=fn|unsafe|async|extern)|extern\s+(?:\"[^\"]*\"\s+)?)*(fn|struct|enum|trait|impl|use|mod)\b\s*([A-Za-z_]\w*)?")
 
 
-def rust(source: str, crate: str | None = None) -> tuple[list[Chunk], list[Import]]:
+def rust(source: str, crate: str | None = None, texts: list[str] | None = None) -> tuple[list[Chunk], list[Import]]:
+    """Top-level items and the functions of impls, and imports from within the crate; all use statements are added to
+    ``texts``."""
     code, chunks, imports = blanked(source, RUST_STRINGS), [], []
     for a, b in items(code, False):
         text = source[a:b]
         m = ITEM.match(code[a:b])
         word = m[1] if m else None
         if word == "use":
-            found = rust_use(text[text.index("use") + 3 :].strip().rstrip(";"), crate)
-            for i in found:
-                i.text, i.statement = text.strip(), a
-            imports += found or [Import("", [], text.strip(), a)]  # of another crate: no path, but text
+            if texts is not None:
+                texts.append(text.strip())
+            imports += rust_use(text[text.index("use") + 3 :].strip().rstrip(";"), crate)
             continue
         if word == "mod" and text.rstrip().endswith(";"):
             imports.append(Import(f"self::{m[2]}", [(m[2], None, "mod_decl")]))
@@ -325,13 +325,13 @@ def rust_use(path: str, crate: str | None) -> list[Import]:
     return ([own] if own.specifiers else []) + out
 
 
-def chunk_file(source: str, extension: str, crate: str | None = None) -> tuple[list[Chunk], list[Import]]:
-    """By extension; what can't be read falls back to line windows."""
+def chunk_file(source: str, extension: str, crate: str | None = None, texts: list[str] | None = None) -> tuple[list[Chunk], list[Import]]:
+    """By extension; what can't be read falls back to line windows. Import statements are added to ``texts``."""
     try:
         if extension in ("ts", "tsx", "js", "jsx", "mjs"):
-            return script(source)
+            return script(source, texts)
         if extension == "rs":
-            return rust(source, crate)
+            return rust(source, crate, texts)
         if extension in ("css", "html", "md"):
             return {"css": css, "html": html, "md": markdown}[extension](source), []
     except (ValueError, IndexError, AssertionError):

@@ -45,5 +45,5 @@ def parse_target(target: str) -> tuple[str, str | None]:
 
 def check_path(path: str) -> str:
     if ".." in path or path.startswith("/"):
-        raise InvalidInput(f"'{path}' must be a relative path and must not contain '..'", "use a relative path inside the project root")
+        raise InvalidInput(f"'{path}' must be a relative path inside the project and must not contain '..'", "use a relative path inside the project root")
     return path

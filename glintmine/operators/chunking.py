@@ -25,13 +25,14 @@ def parsed(files: DataFrame, crate: str | None = None) -> DataFrame:
             for path, text in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True):
                 if not text:
                     continue
-                chunks, found = chunk_file(text, path.rpartition(".")[2], crate)
+                texts: list[str] = []
+                chunks, found = chunk_file(text, path.rpartition(".")[2], crate, texts)
                 cs = [{"ordinal": k, "chunk_type": c.chunk_type, "name": c.name, "content": c.content, "start_line": c.start_line, "end_line": c.end_line, "parent": c.parent} for k, c in enumerate(chunks)]
-                ims = [{"source": i.source, "name": n, "kind": k} for i in found if i.source for n, _, k in (i.specifiers or [(None, None, "side_effect")])]
-                rows.append((path, "\n".join(i.text for i, before in zip(found, [None, *found]) if i.text and (before is None or i.statement != before.statement)), cs, ims))
+                ims = [{"source": i.source, "name": n, "kind": k} for i in found for n, _, k in (i.specifiers or [(None, None, "side_effect")])]
+                rows.append((path, "\n".join(texts), cs, ims))
             if rows:
-                paths, texts, chunks, imports = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string()), pa.array(chunks, pa.list_(_CHUNK)), pa.array(imports, pa.list_(_IMPORT))], names=["file_path", "imports_text", "chunks", "imports"])
+                paths, statements, chunks, imports = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(statements, pa.string()), pa.array(chunks, pa.list_(_CHUNK)), pa.array(imports, pa.list_(_IMPORT))], names=["file_path", "imports_text", "chunks", "imports"])
 
     return files.select("file_path", "content").where("file_path is not null").mapInArrow(run, FILES)
 
