@@ -243,17 +243,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # each link gives one row at most, so repeats may stay until the small star
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v").distinct(), "large-star")
+        large = materialize(large.where("u != v"), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         small = materialize(small.where("u != v").distinct(), "small-star")
-        # settled when all paths are stars: every pair's lower end has no lower end itself
-        lower = small.select(F.col("u").alias("v")).distinct()
-        split = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
         pairs = small
-        if small.join(lower, "v", "left_semi").isEmpty() and split.isEmpty():
+        # settled when all paths are stars: no node has two lower ends, nor a lower end and a higher one
+        ends = small.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+        ends = ends.unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").isEmpty():
             return small.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
