@@ -112,7 +112,7 @@ class BitFilter:
 
 def bit_filter(df: DataFrame, column: str, size_bits: int = FILTER_BITS, marks: int = 1):
     """Broadcast ``BitFilter`` of a bigint column of well-mixed hashes, built by blocks on the executors:
-    the driver gets at most 2**size_bits bits, however many rows there are."""
+    the driver gets at most 2**size_bits bits, however many rows there are, in one job."""
     size = 1 << (BLOCK_BITS - 3)
     block = F.shiftrightunsigned(F.col(column), 64 - size_bits + BLOCK_BITS).cast("int")
     ats = [F.shiftrightunsigned(F.col(column), 64 - size_bits - k * BLOCK_BITS).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias(f"at{k}") for k in range(marks)]
@@ -125,7 +125,7 @@ def bit_filter(df: DataFrame, column: str, size_bits: int = FILTER_BITS, marks:
         return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "bits": [np.packbits(flags, bitorder="little").tobytes()]})
 
     bits = np.zeros(1 << (size_bits - 3), np.uint8)
-    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").toLocalIterator():
+    for row in places.groupBy("block").applyInPandas(packed, "block int, bits binary").collect():
         bits[row["block"] * size : (row["block"] + 1) * size] = np.frombuffer(row["bits"], np.uint8)
     return df.sparkSession.sparkContext.broadcast(BitFilter(bits, size_bits, marks))
 

@@ -230,7 +230,7 @@ def sketch(rows: DataFrame, size: int) -> np.ndarray:
 
     summed = rows.select("text").mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, counts binary")
     table = np.zeros((parts, (1 << SKETCH_BITS) // parts), np.int64)
-    for r in summed.toLocalIterator():
+    for r in summed.collect():  # 2**SKETCH_BITS numbers
         table[r["part"]] = np.frombuffer(r["counts"], np.int64)
     return table.ravel()
 

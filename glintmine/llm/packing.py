@@ -256,7 +256,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, int]:
 def pack(cuts: DataFrame, capacity: int, group_rows: int = 5000) -> DataFrame:
     """``cuts`` (doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
     spark = cuts.sparkSession
-    counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).toLocalIterator()}
+    counts = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs, _ = plan(counts, capacity)
     salts = max(1, -(-max(counts.values(), default=0) // group_rows))
     salted = cuts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))

@@ -79,7 +79,7 @@ def corpus_model(docs: DataFrame, text: str) -> np.ndarray:
             yield batches_of(schema, at[i : i + 50_000].astype(np.int32), table[at[i : i + 50_000]])
 
     table = np.zeros(SIDE**3)
-    for r in docs.select(F.col(text)).mapInArrow(count, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).toLocalIterator():
+    for r in docs.select(F.col(text)).mapInArrow(count, "g int, c long").groupBy("g").agg(F.sum("c").alias("c")).collect():  # SIDE**3 counts
         table[r["g"]] = r["c"]
     return log_model(table)
 
