@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, bit_filter, lowered_words, materialize, per_row, signed, small_batches, window_hashes, word_hashes
@@ -188,21 +188,20 @@ class InvertedIndex:
 
 
 def cluster_links(leader: tuple[int, np.ndarray] | None, ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that connect a block's members as all its links would: ``leader`` asks first, then each member
-    that is not connected with it."""
-    index, union, out = InvertedIndex(sets), Union(), []
+    """Pairs (least, other) that connect a block's members as all its links would, as stars: ``leader`` asks first,
+    then each member that is not connected with it."""
+    index, union = InvertedIndex(sets), Union()
 
     def ask(who: int, found: np.ndarray) -> None:
         for m in index.search(found, percent, lambda m: ids[m] == who or union.find(ids[m]) == union.find(who)):
             union.join(ids[m], who)
-            out.append((who, ids[m]))
 
     if leader is not None:
         ask(*leader)
     for who, found in zip(ids, sets, strict=True):
         if leader is None or union.find(who) != union.find(leader[0]):
             ask(who, found)
-    return out
+    return [(union.find(x), x) for x in union.up]
 
 
 def sketch(rows: DataFrame, size: int) -> np.ndarray:
@@ -240,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
     small-star steps on tables; the rounds grow with the logarithm of the longest path."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     pairs = materialize(pairs, "links")
-    while True:
+    while not _stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each link gives one row at most, so repeats may stay until the small star
@@ -249,13 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = materialize(small.where("u != v").distinct(), "small-star")
-        pairs = small
-        # settled when all paths are stars: no node has two lower ends, nor a lower end and a higher one
-        ends = small.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
-        ends = ends.unionByName(small.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
-        if ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").isEmpty():
-            return small.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        pairs = materialize(small.where("u != v").distinct(), "small-star")
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether all paths are stars: no node has two lower ends, nor a lower end and a higher one."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above"))
+    ends = ends.unionByName(pairs.select(F.col("v").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+    return ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above")).where("below > 1 or below = 1 and above = 1").isEmpty()
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
@@ -320,9 +321,10 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
 
     sizes = clusters.groupBy("leader").agg(F.count("*").alias("members"))
     dealt = clusters.join(sizes, "leader").select("leader", "class", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    own = dealt.where("class != leader").select("leader", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", F.lit(False).alias("asks"))
-    heads = dealt.where("class = leader").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", F.lit(True).alias("asks"))
-    links = materialize(_linked(own.unionByName(heads), rows, facts, size, percent, None), "links-first")
+    # a member is asked in its own block, the leader asks in every block
+    blocks = F.when(F.col("class") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block_of("class")))
+    first = dealt.select("leader", F.explode(blocks).alias("block"), "class", (F.col("class") == F.col("leader")).alias("asks"))
+    links = materialize(_linked(first, rows, facts, size, percent, None), "links-first")
 
     many = dealt.where("blocks > 1 and class != leader")
     if many.isEmpty():
@@ -332,10 +334,16 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
     rooted = many.join(roots, many["class"] == roots["id"], "left").select("leader", "class", "blocks", F.coalesce("root", "class").alias("root"))
     heads = roots.select(F.col("id").alias("leader"), F.col("root").alias("head"))
     rooted = rooted.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
+    rooted = materialize(rooted, "rooted")
     asking = rooted.where("root != head").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", F.lit(True).alias("asks"), "root")
-    asked = rooted.join(asking.select("leader").distinct(), "leader", "left_semi").select("leader", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"), "class", F.lit(False).alias("asks"), "root")
-    again = _linked(asking.unionByName(asked), rows, facts, size, percent, "root")
-    return links.unionByName(materialize(again, "links-again"))
+    asked = rooted.join(asking.select("leader").distinct(), "leader", "left_semi").select("leader", _block_of("class").alias("block"), "class", F.lit(False).alias("asks"), "root")
+    again = materialize(_linked(asking.unionByName(asked), rows, facts, size, percent, "root"), "links-again")
+    # what is connected already goes on as stars, so that it needs no further rounds
+    return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(again)
+
+
+def _block_of(name: str) -> Column:
+    return F.pmod(F.xxhash64(name), F.col("blocks")).cast("int")
 
 
 def _linked(dealt: DataFrame, rows: DataFrame, facts: DataFrame, size: int, percent: int, root: str | None) -> DataFrame:
