@@ -348,6 +348,25 @@ def test_url_model_backs_off(spark):
     assert found["a"] == 1 and found["ab"] == 0 and found["aab"] == pytest.approx(1 / 3) and found["bbz"] == pytest.approx(-2 / 3)
 
 
+def test_url_models_see_every_row(spark):
+    # 30 blocked urls, each with a character of its own, among 24,000 of either label: every one leaves its mark
+    rare = [(-1 - k, f"http://x.com/de/{chr(0x4E00 + k) * 6}") for k in range(30)]
+    asked = [(100_000 + 1000 * new + k, f"http://y.net/{chr((0x5E00 if new else 0x4E00) + k) * 6}") for new in (0, 1) for k in range(30)]
+    many = spark.range(48_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://x.com/"), F.when(F.col("id") % 2 == 0, "fr/").otherwise("de/"), F.hex(F.col("id") % 100)).alias("url"))
+    pages = many.unionAll(spark.createDataFrame(rare + asked, "page_id long, url string"))
+    score = {r["page_id"]: r["score"] for r in url_filter.judge(pages, URL_RULES).where("page_id >= 100000").collect()}
+    assert len(score) == 60 and all(score[100_000 + k] < score[101_000 + k] for k in range(30))
+
+
+def test_url_model_keeps_grams_that_meet(spark):
+    grams = [f"1:{a}{b}" for a in map(chr, range(0x4E00, 0x4E00 + 400)) for b in map(chr, range(0x5E00, 0x5E00 + 250))]  # 100,000 for 65,536 cells
+    known = spark.createDataFrame([(g, float(k % 7)) for k, g in enumerate(grams)], "g string, ratio double").withColumn("key", F.xxhash64("g"))
+    model = url_filter.as_array(known.select(url_filter.cell(F.col("key")).alias("place"), "key", "ratio"))
+    texts = spark.createDataFrame([("^" * url_filter.ORDER + g[2:], float(k % 7)) for k, g in enumerate(grams) if k % 50 == 0], "text string, ratio double")
+    found = url_filter.scored(texts, model).collect()
+    assert len(found) == 2000 and all(r["score"] == pytest.approx(r["ratio"] / 2) for r in found)
+
+
 STAGE_ROWS = [
     (0, None), (1, ""), (2, "12 34 -"), (3, f"{PASSAGE} one"), (4, f"{PASSAGE} one"), (4, f"{PASSAGE} one"), (None, PASSAGE + " two"), (5, "the quick text has token = \"abcdef0123456789abcdef0123456789\" in it"),
     (6, "this text quotes a benchmark line of ten words that should never be seen again in training"), (7, LONG), (8, "short text"),
