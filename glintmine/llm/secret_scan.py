@@ -1,9 +1,11 @@
 """Secret scans: base patterns plus character Markov models of random strings and ordinary identifiers.
 
-Both models are trained from labelled samples: random strings drawn from a seeded generator, and
-identifiers and numbers composed from the corpus's own words. A token of ``LEAST`` or more characters is a
+Both models are trained from labelled strings: random strings drawn from a seeded generator, and
+identifiers and numbers composed from the corpus's own words, of which every different one is used, for the model and
+for each threshold. Words are dealt by hash into groups that are composed apart, so nothing depends on
+partitions and the driver gets counts of fixed size. A token of ``LEAST`` or more characters is a
 secret when its log-likelihood ratio, for each character, passes the threshold of its length, calibrated on
-held-out samples. A token that base patterns cover only in part is scored as a whole, and if that does not
+other identifiers. A token that base patterns cover only in part is scored as a whole, and if that does not
 pass, so are its parts that nothing covers: no rest of a secret stays beside a base span. Shorter tokens are
 left to the base patterns, since so few characters don't tell a secret from a word.
 
@@ -18,14 +20,16 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_row, small_batches
+from .common import materialize, per_row, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -40,6 +44,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.zeros(128, np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(1, len(ALPHABET) + 1)
 SIDE = len(ALPHABET) + 1
+#: Words of a group, about; scores are counted by steps of 1 / STEPS.
+GROUP, STEPS = 10_000, 4096
+#: All bytes but the alphabet's become spaces.
+_APART = bytes(c if chr(c) in ALPHABET else 32 for c in range(256))
 
 #: Words of ordinary identifiers, beside the corpus's own.
 COMMON = (
@@ -121,25 +129,24 @@ def uncovered(start: int, end: int, spans: list[Span]) -> list[tuple[int, int]]:
     return [*out, (at, end)] if at < end else out
 
 
-def _lengths(many: int, draw: random.Random, length: int | None) -> list[int]:
-    return [length or draw.randint(LEAST, 64) for _ in range(many)]
-
-
 def random_strings(many: int, seed: int, length: int | None = None) -> list[str]:
     """Positive samples: uniform strings over the alphabets that keys come in, of one length or of many."""
     draw = random.Random(seed)
     alphabets = ["0123456789abcdef", "0123456789ABCDEF", ALPHABET[:26] + "234567", ALPHABET[:62], ALPHABET[:64], ALPHABET[:62] + "_-", ALPHABET[26:62]]
-    return ["".join(draw.choices(draw.choice(alphabets), k=n)) for n in _lengths(many, draw, length)]
+    return ["".join(draw.choices(draw.choice(alphabets), k=n)) for n in [length or draw.randint(LEAST, 64) for _ in range(many)]]
 
 
-def identifiers(words: list[str], many: int, seed: int, length: int | None = None) -> list[str]:
+def identifiers(words: list[str], many: int, seed: int | str, length: int | None = None) -> list[str]:
     """Negative samples: words alone or joined as identifiers, paths, rules and numbers are, of ``length``
-    characters or a few more."""
+    characters or a few more. At least ``many``, and as many as it takes to use every word."""
     draw = random.Random(seed)
     plain = sorted({w for w in words if re.fullmatch(r"[A-Za-z]{1,24}", w)}.union(COMMON))
+    draw.shuffle(plain)
+    used = 0
     joined = {"": "", "_": "_", "-": "-", "/": "/", "+": "+", "=": "="}
     out = []
-    for n in _lengths(many, draw, length):
+    while len(out) < many or used < len(plain):
+        n = length or draw.randint(LEAST, 64)
         style = draw.randrange(10)
         if style == 0:
             made = draw.choice("-=_+/aeno0") * n
@@ -152,7 +159,10 @@ def identifiers(words: list[str], many: int, seed: int, length: int | None = Non
         case = draw.choice([str, str.lower, str.upper, str.capitalize, str.capitalize])
         glue = joined[draw.choice(["", "", "_", "_", "-", "/", "+", "="])]
         while len(made) < n:
-            part = case(draw.choice(plain if draw.random() < 0.7 else COMMON))
+            if draw.random() < 0.7:
+                part, used = case(plain[used % len(plain)]), used + 1
+            else:
+                part = case(draw.choice(COMMON))
             if draw.random() < 0.1:
                 part += str(draw.randint(0, draw.choice([9, 99, 2030])))
             made += (glue if made else "") + part
@@ -161,41 +171,102 @@ def identifiers(words: list[str], many: int, seed: int, length: int | None = Non
 
 
 def _counts(samples: list[str]) -> np.ndarray:
-    table = np.zeros((SIDE, SIDE, SIDE))
-    for s in samples:
-        at = np.concatenate([[0, 0], _CODE[np.frombuffer(s.encode("ascii"), np.uint8)]])
-        np.add.at(table, (at[:-2], at[1:-1], at[2:]), 1)
-    return table
+    """How often each trigram stands in the samples, marks before each included."""
+    at = _CODE[np.frombuffer(("\0\0" + "\0\0".join(samples)).encode("ascii"), np.uint8)]
+    cells = (at[:-2] * SIDE + at[1:-1]) * SIDE + at[2:]
+    return np.bincount(cells[at[2:] > 0], minlength=SIDE**3)
 
 
-def _log_model(samples: list[str]) -> np.ndarray:
+def _log_model(counts: np.ndarray) -> np.ndarray:
     """Trigram probabilities, smoothed towards bigrams and those towards uniform."""
-    three = _counts(samples)
+    three = counts.reshape(SIDE, SIDE, SIDE)
     two = three.sum(0)
     p2 = (two + 1.0) / (two.sum(1, keepdims=True) + SIDE)
     return np.log((three + 8.0 * p2[None]) / (three.sum(2, keepdims=True) + 8.0))
 
 
-def train(words: list[str], samples: int = 6000, seed: int = 20, false_rate: float = 1e-3) -> SecretModel:
-    """Fit on ``samples`` strings of each label and set the thresholds so that of as many others of each class of
-    length at most ``false_rate`` of the identifiers pass."""
-    ratio = _log_model(random_strings(samples, seed)) - _log_model(identifiers(words, samples, seed + 1))
+Tally = Callable[[list[str], int, int], pd.DataFrame]  # (words, at least so many strings, group) -> (k, cell, n)
+
+
+def _tally_grams(seed: int) -> Tally:
+    def tally(words: list[str], many: int, group: int) -> pd.DataFrame:
+        counts = _counts(identifiers(words, many, f"{seed}:{group}"))
+        cells = np.flatnonzero(counts)
+        return pd.DataFrame({"k": np.zeros(len(cells), np.int32), "cell": cells, "n": counts[cells]})
+
+    return tally
+
+
+def _tally_scores(model: SecretModel, seed: int) -> Tally:
+    """How many identifiers of each class of length have which score, in steps; all below 0 are one."""
+
+    def tally(words: list[str], many: int, group: int) -> pd.DataFrame:
+        parts = []
+        for k, length in enumerate(CLASSES):
+            scores = model.scores(identifiers(words, many, f"{seed + k}:{group}", length))
+            cells, n = np.unique(np.floor(np.maximum(scores, 0) * STEPS).astype(np.int64), return_counts=True)
+            parts.append(pd.DataFrame({"k": np.full(len(cells), k, np.int32), "cell": cells, "n": n}))
+        return pd.concat(parts)
+
+    return tally
+
+
+def _summed(words: DataFrame | list[str], samples: int, tally: Tally) -> pd.DataFrame:
+    """The tallies of all groups of words, added up by (k, cell)."""
+    if isinstance(words, list):
+        return tally(words, samples, 0)
+    total = words.count()
+    groups = -(-total // GROUP)
+    if groups <= 1:  # the same as one group on an executor
+        return tally(sorted(r["w"] for r in words.collect()), samples, 0)
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        return tally(sorted(frame["w"]), -(-samples * len(frame) // total), int(frame["g"].iloc[0]))
+
+    dealt = words.select("w", F.pmod(F.xxhash64("w"), F.lit(groups)).alias("g"))
+    return dealt.groupBy("g").applyInPandas(work, "k int, cell long, n long").groupBy("k", "cell").agg(F.sum("n").alias("n")).toPandas()
+
+
+def train(words: DataFrame | list[str], samples: int = 6000, seed: int = 20, false_rate: float = 1e-3) -> SecretModel:
+    """Fit on ``samples`` random strings and at least as many identifiers, made of all ``words``, a list or a table of
+    different ones (w), and set the thresholds so that of others of each class of length at most ``false_rate`` of
+    the identifiers pass."""
+    grams, counts = _summed(words, samples, _tally_grams(seed + 1)), np.zeros(SIDE**3)
+    counts[grams["cell"].to_numpy()] = grams["n"].to_numpy()
+    ratio = _log_model(_counts(random_strings(samples, seed))) - _log_model(counts)
     model = SecretModel(ratio, np.full(len(CLASSES), 0.25))
-    for k, length in enumerate(CLASSES):
-        held = np.sort(model.scores(identifiers(words, samples, seed + 2 + k, length)))
-        model.thresholds[k] = max(0.25, float(held[min(len(held) - 1, int(len(held) * (1 - false_rate)))]))
+    held = _summed(words, samples, _tally_scores(model, seed + 2))
+    for k, of in held.groupby("k"):
+        of = of.sort_values("cell", ascending=False)
+        cells, passing = of["cell"].to_numpy(), np.cumsum(of["n"].to_numpy())
+        # just above the highest score that may not pass
+        last = cells[np.searchsorted(passing, passing[-1] * false_rate, side="right")]
+        model.thresholds[k] = max(0.25, float(last + 1) / STEPS)
     return model
 
 
-def corpus_words(docs: DataFrame, text: str, rows: int = 400, words: int = 20_000) -> list[str]:
-    """Words for the negative samples, from a bounded draw: of about 4 x ``rows`` texts that are drawn by their
-    hash, copies of a text being one, the ``rows`` first, and of their words the ``words`` first by hash."""
-    texts = docs.select(F.col(text).alias("t"), F.xxhash64(F.col(text)).alias("h")).where("t is not null")
-    share = min(1.0, 4 * rows / max(1, docs.count()))
-    drawn = texts.where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30))).groupBy("h").agg(F.min("t").alias("t"))
-    some = drawn.orderBy("h").limit(rows)
-    each = some.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{2,24})(?![A-Za-z0-9+/_=-])"), 1))).alias("w")).distinct()
-    return [r["w"] for r in each.orderBy(F.xxhash64("w"), "w").limit(words).collect()]
+def corpus_words(docs: DataFrame, text: str, most: int = 200_000) -> DataFrame:
+    """(w): the different words of all texts, runs of 2 to 24 letters between characters that keys don't hold, for
+    the negative samples. A task holds about ``most`` words before it passes them on."""
+    small_batches(docs.sparkSession)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+
+        def passed_on() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x.decode() for x in seen if x.isalpha() and 2 <= len(x) <= 24], pa.string())], names=["w"])
+
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                if x:
+                    seen.update(x.encode("utf-8", "surrogatepass").translate(_APART).split())
+                if len(seen) >= most:
+                    yield passed_on()
+                    seen.clear()
+        if seen:
+            yield passed_on()
+
+    return materialize(docs.select(F.col(text).alias("t")).mapInArrow(work, "w string").distinct(), "secret-words")
 
 
 def all_spans(texts: list[str | None], model: SecretModel) -> list[tuple[list[Span], list[Span]]]:

@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -109,6 +110,21 @@ def test_secrets(docs, empty):
     assert secret_scan.uncovered(5, 20, [(0, 7, "hex"), (6, 9, "hex"), (12, 14, "hex"), (20, 30, "hex")]) == [(9, 12), (14, 20)]
 
 
+def test_secret_models_see_every_word(spark, monkeypatch):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [f"{a}{b}{c}q{c}{a}" for a in letters for b in letters for c in letters] + ["Zzyxx"] * 3
+    texts = [" ".join(words[k : k + 10]) + f" zu{k}x ab+cd\u00e9efg \u2014{'y' * 25} a" for k in range(0, len(words), 10)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None, ""]], "text string")
+    whole = {w for t in texts for w in re.findall(r"(?<![A-Za-z0-9+/_=-])([A-Za-z]{2,24})(?![A-Za-z0-9+/_=-])", t)}
+    found = secret_scan.corpus_words(df, "text", most=1000)
+    assert sorted(r["w"] for r in found.collect()) == sorted(whole) and len(whole) > 17_000
+    # every word is in the strings of every group, whatever the partitions
+    assert all(w in " ".join(secret_scan.identifiers(sorted(whole)[:500], 1, 5)).lower() for w in sorted(whole)[:500] if w.islower())
+    monkeypatch.setattr(secret_scan, "GROUP", 3000)
+    models = [secret_scan.train(secret_scan.corpus_words(df.repartition(n), "text"), samples=500) for n in (1, 7)]
+    assert np.array_equal(models[0].ratio, models[1].ratio) and np.array_equal(models[0].thresholds, models[1].thresholds)
+
+
 def test_secrets_planted(spark):
     """Recall of planted random keys by length, and precision over ordinary words, identifiers and numbers."""
     prose = "The committee discussed internationalization and telecommunications requirements in 2024-05-17, see docs/reference/getting-started and 4929348385146306 or call 555-0123"
