@@ -11,7 +11,7 @@ that reach each other by links are one component.
    together in a cluster, and a cluster's rows are linear in its members.
 4. Within a cluster, in blocks of bounded size, counts of a set's shingles by cell bound the overlap of any
    two members from above, so that whole sets travel only of classes that can reach the overlap T with
-   another member. Each class that is not yet connected to the cluster's least
+   another member; they travel as compressed words. Each class that is not yet connected to the cluster's least
    is a query: the short inverted lists are merged with a heap, the long ones probed by binary search, and
    classes that reach the overlap T are links. A pair that is already connected is not compared.
 5. Clusters of more blocks than one: after components are joined, the classes still apart from the cluster's
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, bit_filter, lowered_words, materialize, per_row, signed, small_batches, window_hashes, word_hashes
@@ -41,11 +41,17 @@ from .common import batches_of, bit_filter, lowered_words, materialize, per_row,
 SKETCH_BITS = 20
 #: A cluster's block: what one task holds of a cluster at once.
 BLOCK = 1024
+#: How many classes a task remembers so as not to post them again; more only post repeats.
+SEEN = 100_000
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The sorted hashes of the different shingles of a whole text."""
-    base = word_hashes(lowered_words(text))
+    return shingles_of(lowered_words(text), size)
+
+
+def shingles_of(words: list[bytes], size: int) -> np.ndarray:
+    base = word_hashes(words)
     if not len(base):
         return base
     if len(base) < size:  # the length goes in, so that no shorter sequence equals a full shingle
@@ -53,6 +59,16 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(window_hashes(base, size))
 
 
+def packed(words: list[bytes]) -> bytes:
+    """Words as they travel: compressed they take a fraction of their set's 8 bytes a shingle."""
+    return zlib.compress(b" ".join(words), 1)
+
+
+def unpacked(words: bytes, size: int) -> np.ndarray:
+    """The set of ``packed`` words; none of them holds white space."""
+    return shingles_of(zlib.decompress(words).split(), size)
+
+
 def set_hash(found: np.ndarray) -> int:
     import xxhash
 
@@ -296,23 +312,28 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
     schema = pa.schema([("token", pa.int64()), ("class", pa.int64())])
 
     def post(batches):
-        counts = order.value
+        counts, seen = order.value, set()
         for batch in batches:
             tokens, owners = [], []
             for t in batch.column(0).to_pylist():
                 found = shingles(t, size)
-                if len(found):
+                if len(found) and (own := set_hash(found)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(own)
                     rare = np.lexsort((found, counts[(found >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
                     tokens.append(signed(found[rare[: prefix(len(found), percent)]]))
-                    owners.append(np.full(len(tokens[-1]), set_hash(found)))
+                    owners.append(np.full(len(tokens[-1]), own))
             if tokens:
                 a, b = np.concatenate(tokens), np.concatenate(owners)
                 for i in range(0, len(a), 100_000):
                     yield batches_of(schema, a[i : i + 100_000], b[i : i + 100_000])
 
-    postings = materialize(rows.select("text").mapInArrow(post, "token long, class long"), "postings")
-    shared = postings.groupBy("token").agg(F.min("class").alias("leader"), F.max("class").alias("last")).where("last > leader").select("token", "leader")
-    clusters = materialize(postings.join(shared.hint("shuffle_hash"), "token").select("leader", "class").distinct(), "clusters")
+    # Postings are most of what moves, so they are dealt once and not written.
+    postings = rows.select("text").mapInArrow(post, "token long, class long")
+    same = Window.partitionBy("token")
+    shared = postings.select("class", F.min("class").over(same).alias("leader"), F.max("class").over(same).alias("last")).where("last > leader")
+    clusters = materialize(shared.select("leader", "class").distinct(), "clusters")
 
     # Of each class in a cluster: a document that has it, and its counts by cell.
     wanted = clusters.select("class").distinct()
@@ -348,26 +369,25 @@ def _block_of(name: str) -> Column:
 
 def _linked(dealt: DataFrame, rows: DataFrame, facts: DataFrame, size: int, percent: int, root: str | None) -> DataFrame:
     able = materialize(_able(dealt, facts, percent, root), "able")
-    return _searched(able, _sets(able.select("class").distinct(), rows, facts, size), percent, root)
+    return _searched(able, _sets(able.select("class").distinct(), rows, facts, size), size, percent, root)
 
 
 def _sets(wanted: DataFrame, rows: DataFrame, facts: DataFrame, size: int) -> DataFrame:
-    """(class, set) of the wanted classes. The bit filter passes few texts besides theirs."""
+    """(class, words) of the wanted classes, packed. The bit filter passes few texts besides theirs."""
     key = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
     maybe = bit_filter(facts.join(wanted, "class", "left_semi").select(key), "h")
-    schema = pa.schema([("class", pa.int64()), ("set", pa.binary())])
+    schema = pa.schema([("class", pa.int64()), ("words", pa.binary())])
 
     def whole_sets(batches):
         for batch in batches:
             seen = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             passed = batch.filter(pa.array(maybe.value.maybe(seen)))
-            found = [shingles(t, size) for t in passed.column(1).to_pylist()]
-            found = [(set_hash(x), x.tobytes()) for x in found if len(x)]
+            found = [(set_hash(shingles_of(words, size)), packed(words)) for t in passed.column(1).to_pylist() if (words := lowered_words(t))]
             if found:
                 yield batches_of(schema, *zip(*found, strict=True))
 
-    sets = rows.where("doc_id is not null").select(key, "text").mapInArrow(whole_sets, "class long, set binary")
-    return materialize(sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("set").alias("set")), "sets")
+    sets = rows.where("doc_id is not null").select(key, "text").mapInArrow(whole_sets, "class long, words binary")
+    return sets.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("words").alias("words"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
@@ -425,11 +445,11 @@ def _able(dealt: DataFrame, facts: DataFrame, percent: int, root: str | None) ->
     return _by_block(held).mapInArrow(chosen, kinds)
 
 
-def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None) -> DataFrame:
+def _searched(dealt: DataFrame, sets: DataFrame, size: int, percent: int, root: str | None) -> DataFrame:
     """Searches each (leader, block): rows that ask and rows that are asked. Rows stream through sorted, and
     a task holds one block at a time."""
     columns = ["leader", "block", "class", "asks", *([root] if root else [])]
-    held = dealt.select(*columns).join(sets, "class").select(*columns, "set")
+    held = dealt.select(*columns).join(sets, "class").select(*columns, "words")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def search(batches):
@@ -439,12 +459,12 @@ def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None)
                 yield batches_of(schema, *zip(*found, strict=True))
 
     def parsed(rows):
-        return [r[0] for r in rows], [np.frombuffer(r[-1], np.uint64) for r in rows]
+        return [r[0] for r in rows], [unpacked(r[-1], size) for r in rows]
 
     def ask_first(group):
         heads, rest = [r for r in group if r[1]], [r for r in group if not r[1]]
         ids, sets = parsed(rest)
-        leader = (heads[0][0], np.frombuffer(heads[0][-1], np.uint64)) if heads else None
+        leader = (heads[0][0], unpacked(heads[0][-1], size)) if heads else None
         return cluster_links(leader, ids, sets, percent)
 
     def ask_all(group):
@@ -454,7 +474,7 @@ def _searched(dealt: DataFrame, sets: DataFrame, percent: int, root: str | None)
         roots = [r[2] for r in asked]
         for r in group:
             if r[1]:
-                for m in index.search(np.frombuffer(r[-1], np.uint64), percent, lambda m, r=r: union.find(roots[m]) == union.find(r[2])):
+                for m in index.search(unpacked(r[-1], size), percent, lambda m, r=r: union.find(roots[m]) == union.find(r[2])):
                     union.join(roots[m], r[2])
                     out.append((r[0], ids[m]))
         return out

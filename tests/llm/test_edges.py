@@ -47,6 +47,36 @@ def test_near_duplicates(docs, empty):
     assert 6 in kept and 7 not in kept and kept.count(9) <= 2
 
 
+def moved(spark):
+    """Bytes that all stages so far have shuffled and written to tables."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() + stages.apply(k).outputBytes() for k in range(stages.size()))
+
+
+def test_near_duplicates_disk(spark):
+    draw = random.Random(5)
+    words = [f"word{i}" for i in range(5000)]
+    firsts = [draw.choices(words, k=800) for _ in range(200)]
+    near = [[*t[:400], "other", *t[401:]] for t in firsts]
+    rows = [(i, " ".join(t)) for i, t in enumerate(firsts + near)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    table.count()
+    before = moved(spark)
+    found = ngram_join.join_components(table, size=4, percent=85).collect()
+    table.unpersist()
+    share = (moved(spark) - before) / sum(len(t) for _, t in rows)
+    assert all(r["component_id"] == r["doc_id"] % 200 and r["n_shingles"] > 700 for r in found) and len(found) == 400
+    print("moved, x input:", share)
+    assert share < 2, share  # postings once, and each set's words by class and by block
+
+
+def test_packed_words():
+    for _, text in DOCS:
+        words = ngram_join.lowered_words(text)
+        assert np.array_equal(ngram_join.unpacked(ngram_join.packed(words), 4), ngram_join.shingles(text, 4))
+
+
 def test_substrings(docs, empty):
     assert got(substring_dedup.dedup(docs)) == sorted(brute.dedup(DOCS), key=str)
     assert substring_dedup.dedup(empty).count() == 0
