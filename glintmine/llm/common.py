@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, reachable  # noqa: F401 (operators take materialize from here)
+from ..session import few_files, materialize, reachable  # noqa: F401 (operators take few_files and materialize from here)
 
 #: ``[^\x20\x09-\x0D]+``: the word rule that most contracts share (for Java's regular expressions).
 SPACES = r"[\x20\x09-\x0D]+"
@@ -148,6 +151,27 @@ def per_row(work: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> C
     return run
 
 
+_held: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between tasks, such as a model and its cache. It keeps one such thing: workers
+    outlive the stages of a pipeline, and would hold those of all stages at once."""
+    if key not in _held:
+        let_go()
+        _held[key] = make()
+    return _held[key]
+
+
+def let_go() -> None:
+    """Drop what ``held`` keeps, and give the memory back."""
+    if _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def signed(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.int64)
 

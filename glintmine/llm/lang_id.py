@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, per_row, small_batches
+from .common import batches_of, few_files, held, materialize, per_row, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 5  # characters of the longest n-gram
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, text: str, lang: str, usable: Column, salt: Column, per
                         found[l, n, g] += min(c, 8)  # one frequent word is not the whole evidence of its n-grams
         yield from pieces_of([(*k, c) for k, c in found.items()], gram_schema)
 
-    whole = materialize(sample.mapInArrow(count_words, "l string, f string, c long").groupBy("l", "f").agg(F.sum("c").alias("c")), "lang-words")
+    whole = materialize(few_files(sample.mapInArrow(count_words, "l string, f string, c long").groupBy("l", "f").agg(F.sum("c").alias("c"))), "lang-words")
     parts = whole.mapInArrow(count_grams, "l string, n int, f string, c long").groupBy("l", "n", "f").agg(F.sum("c").alias("c"))
     size = whole.groupBy("l").agg(F.count("*").alias("size"))
     both = whole.select("l", F.lit(0).alias("n"), "f", "c").unionByName(parts)
@@ -207,13 +207,8 @@ def keep_identified(docs: DataFrame, text: str, model: LanguageModel, least: flo
     return docs.mapInArrow(per_row(work), docs.schema)
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def scorer(sent) -> Scorer:
-    """One scorer for each model in a Python worker: its cache outlives a task."""
+    """One scorer for a model in a Python worker: its cache outlives a task. It keeps the model, whose id so stays its
+    own."""
     model = sent.value
-    if id(model) not in _scorers:
-        _scorers.clear()
-        _scorers[id(model)] = Scorer(model)
-    return _scorers[id(model)]
+    return held(("scorer", id(model)), lambda: Scorer(model))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_filter, lowered_words, materialize, per_row, signed, small_batches, window_hashes, word_hashes
+from .common import batches_of, bit_filter, few_files, let_go, lowered_words, materialize, per_row, signed, small_batches, window_hashes, word_hashes
 
 SKETCH_BITS = 20
 #: A cluster's block: what one task holds of a cluster at once.
@@ -254,17 +254,17 @@ def components(edges: DataFrame) -> DataFrame:
     """(id, root): the least id that each id of ``edges`` (a, b) reaches. Alternating large-star and
     small-star steps on tables; the rounds grow with the logarithm of the longest path."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    pairs = materialize(pairs, "links")
+    pairs = materialize(few_files(pairs), "links")
     while not _stars(pairs):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # each link gives one row at most, so repeats may stay until the small star
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.where("u != v"), "large-star")
+        large = materialize(few_files(large.where("u != v")), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = materialize(small.where("u != v").distinct(), "small-star")
+        pairs = materialize(few_files(small.where("u != v").distinct()), "small-star")
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -283,13 +283,15 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def classes():
+        let_go()  # workers that have served another operator come with its model
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([set_hash(x) if len(x) else None for x in found], pa.int64()), pa.array([cells(x).tobytes() if len(x) else None for x in found], pa.binary())], names=["doc_id", "n", "class", "cells"])
 
         return step
 
-    members = materialize(rows.mapInArrow(per_row(classes), f"doc_id {kind}, n long, class long, cells binary"), "classes")
+    members = materialize(few_files(rows.mapInArrow(per_row(classes), f"doc_id {kind}, n long, class long, cells binary")), "classes")
     first = members.where("class is not null and doc_id is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
     edges = class_links(rows, members, size, percent, block)
     # Ids that repeat tie their classes together too.
@@ -333,19 +335,19 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
     postings = rows.select("text").mapInArrow(post, "token long, class long")
     same = Window.partitionBy("token")
     shared = postings.select("class", F.min("class").over(same).alias("leader"), F.max("class").over(same).alias("last")).where("last > leader")
-    clusters = materialize(shared.select("leader", "class").distinct(), "clusters")
+    clusters = materialize(few_files(shared.select("leader", "class").distinct()), "clusters")
 
     # Of each class in a cluster: a document that has it, and its counts by cell.
     wanted = clusters.select("class").distinct()
     facts = members.where("class is not null and doc_id is not null").join(wanted, "class", "left_semi")
-    facts = materialize(facts.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "cluster-classes")
+    facts = materialize(few_files(facts.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"))), "cluster-classes")
 
     sizes = clusters.groupBy("leader").agg(F.count("*").alias("members"))
     dealt = clusters.join(sizes, "leader").select("leader", "class", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
     # a member is asked in its own block, the leader asks in every block
     blocks = F.when(F.col("class") == F.col("leader"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block_of("class")))
     first = dealt.select("leader", F.explode(blocks).alias("block"), "class", (F.col("class") == F.col("leader")).alias("asks"))
-    links = materialize(_linked(first, rows, facts, size, percent, None), "links-first")
+    links = materialize(few_files(_linked(first, rows, facts, size, percent, None)), "links-first")
 
     many = dealt.where("blocks > 1 and class != leader")
     if many.isEmpty():
@@ -355,10 +357,10 @@ def class_links(rows: DataFrame, members: DataFrame, size: int, percent: int, bl
     rooted = many.join(roots, many["class"] == roots["id"], "left").select("leader", "class", "blocks", F.coalesce("root", "class").alias("root"))
     heads = roots.select(F.col("id").alias("leader"), F.col("root").alias("head"))
     rooted = rooted.join(heads, "leader", "left").withColumn("head", F.coalesce("head", "leader"))
-    rooted = materialize(rooted, "rooted")
+    rooted = materialize(few_files(rooted), "rooted")
     asking = rooted.where("root != head").select("leader", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", F.lit(True).alias("asks"), "root")
     asked = rooted.join(asking.select("leader").distinct(), "leader", "left_semi").select("leader", _block_of("class").alias("block"), "class", F.lit(False).alias("asks"), "root")
-    again = materialize(_linked(asking.unionByName(asked), rows, facts, size, percent, "root"), "links-again")
+    again = materialize(few_files(_linked(asking.unionByName(asked), rows, facts, size, percent, "root")), "links-again")
     # what is connected already goes on as stars, so that it needs no further rounds
     return roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(again)
 
@@ -368,7 +370,7 @@ def _block_of(name: str) -> Column:
 
 
 def _linked(dealt: DataFrame, rows: DataFrame, facts: DataFrame, size: int, percent: int, root: str | None) -> DataFrame:
-    able = materialize(_able(dealt, facts, percent, root), "able")
+    able = materialize(few_files(_able(dealt, facts, percent, root)), "able")
     return _searched(able, _sets(able.select("class").distinct(), rows, facts, size), size, percent, root)
 
 
@@ -487,4 +489,4 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size
     smallest id stays. Rows with a null id and rows that repeat the id that stays are kept."""
     found = join_components(docs, doc_id, text, size, percent)
     gone = found.where("component_id != doc_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    return few_files(docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti"))

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches_of, materialize, parallelism_off, per_row, small_batches
+from .common import batches_of, few_files, held, materialize, parallelism_off, per_row, small_batches
 
 #: A single space between characters that no tokenizer takes for white space: text may be cut here, since
 #: the tokenizer's own pattern starts a new piece at each such space.
@@ -158,13 +158,8 @@ def quick_encoder(tokenizer, path: str):
     return quick, re.compile("[ " + re.escape("".join(alike)) + "]*")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -282,7 +277,7 @@ def pack(cuts: DataFrame, capacity: int, group_rows: int = 5000) -> DataFrame:
 
         return step
 
-    return ranked.mapInArrow(per_row(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return few_files(ranked.mapInArrow(per_row(work), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, tokenizer: Callable[[], str], capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, per_row, small_batches
+from .common import few_files, materialize, per_row, small_batches
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -266,7 +266,7 @@ def corpus_words(docs: DataFrame, text: str, most: int = 200_000) -> DataFrame:
         if seen:
             yield passed_on()
 
-    return materialize(docs.select(F.col(text).alias("t")).mapInArrow(work, "w string").distinct(), "secret-words")
+    return materialize(few_files(docs.select(F.col(text).alias("t")).mapInArrow(work, "w string").distinct()), "secret-words")
 
 
 def all_spans(texts: list[str | None], model: SecretModel) -> list[tuple[list[Span], list[Span]]]:

@@ -40,6 +40,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 _written: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+#: A file for so many bytes of input, and at least so many for each core.
+FILE_BYTES, FILES_A_CORE = 8 << 20, 2
+
+
+def few_files(df: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than the bytes of the tables that it reads call for, so that small tables aren't
+    written as a file for each of a shuffle's partitions: where Hadoop has no native library, each local file costs
+    two processes (chmod), which show all of the executor's memory as their own until they run. For plans that
+    make about as many bytes as they read; rows stay the same, large tables keep all their partitions."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(k).stats().sizeInBytes()) for k in range(leaves.length()))
+    most = max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // FILE_BYTES))
+    return df.coalesce(most) if most < 1 << 31 else df  # tables of unknown size count as huge
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:

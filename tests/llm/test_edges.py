@@ -2,13 +2,17 @@
 
 import random
 import re
+import weakref
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from glintmine.llm import decontaminate, html_text, lang_id, ngram_join, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
+from glintmine import session
+from glintmine.llm import common, decontaminate, html_text, lang_id, ngram_join, packing, quality, secret_scan, substring_dedup, toxicity, url_filter
 from glintmine.llm.queries import URL_RULES, tokenizer_path
 from tests.llm import brute
 
@@ -452,6 +456,45 @@ def test_stage(spark, odd, sf, name):
     assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in rows)
 
 
+def test_few_files(spark, tmp_path):
+    """Small tables that a shuffle deals over many partitions are written by few tasks; large ones keep their partitions."""
+    texts = [" ".join(f"v{k}w{i}" for i in range(60)) + (" end" if copy else "") for k in range(200) for copy in range(2)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs").repartition(50)
+    names = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    old = set(session._written.get(spark, []))
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        found = docs.join(ngram_join.join_components(docs, size=4, percent=85).select("doc_id", "component_id"), "doc_id").collect()
+        few = spark.range(1000).repartition(40)
+        dealt = [session.few_files(few).rdd.getNumPartitions(), few.rdd.getNumPartitions()]
+        large = session.few_files(spark.range(100_000_000).repartition(40)).rdd.getNumPartitions()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 for i in range(400)}
+    most = session.FILES_A_CORE * spark.sparkContext.defaultParallelism
+    files = {p: len(list(Path(p.removeprefix("file://")).glob("part-*"))) for p in session._written[spark] if p not in old}
+    assert len(files) >= 5 and max(files.values()) <= most
+    assert dealt == [most, 40] and large == 40
+
+
+def test_worker_holds_one():
+    """A worker that goes from stage to stage keeps the last one's model and cache alone."""
+    score = common.held("a", lambda: lang_id.Scorer(lang_id.LanguageModel(["x"], [1.0], {}, {})))
+    gone = weakref.ref(score)
+    assert common.held("a", lambda: None) is score
+    del score
+    assert packing.encoder(tokenizer_path()) is packing.encoder(tokenizer_path()) and gone() is None
+    gone = weakref.ref(packing.encoder(tokenizer_path()))
+    sent = SimpleNamespace(value=lang_id.LanguageModel(["x"], [1.0], {}, {}))
+    assert lang_id.scorer(sent) is lang_id.scorer(sent) and gone() is None
+    common.let_go()
+    assert not common._held
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     raw = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
